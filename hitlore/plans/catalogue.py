@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from hitlore.plans import requests_queries, requests_sql
+from hitlore.plans import drift_queries, requests_queries, requests_sql
 
 FLAGSHIP = "p5_found"
 
 
 def queries() -> dict:
-    return {**requests_queries.QUERIES}
+    return {**drift_queries.QUERIES, **requests_queries.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
