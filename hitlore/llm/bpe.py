@@ -10,7 +10,7 @@ step merges once in every piece that has a merge left.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -179,8 +179,8 @@ def pieces_of(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(SPLIT), F.lit(0))
 
 
-def encode(texts: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """id and ids: the token ids of every text, without special tokens. No row moves; a text is split and encoded whole.
+def encode(texts: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", keep: Sequence[str] = (), vocabulary: str = VOCABULARY) -> DataFrame:
+    """id, the columns of keep, and ids: the token ids of every text, without special tokens. No row moves; a text is split and encoded whole.
 
     The merges are read on the driver from the file at `vocabulary` and sent to the executors (under 2 MB, fixed by the
     vocabulary). Special tokens' strings are ordinary text.
@@ -209,10 +209,11 @@ def encode(texts: DataFrame, *, id_column: str = "doc_id", text_column: str = "t
             offsets = ends[starts - starts[0]]
             values = np.concatenate(parts) if parts else np.empty(0, np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=[id_column, "ids"])
+            kept = [batch.column(i) for i in range(2, batch.num_columns)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *kept, ids], names=[id_column, *keep, "ids"])
 
-    kind = texts.schema[id_column].dataType.simpleString()
-    return texts.select(id_column, pieces_of(F.col(text_column)).alias("pieces")).mapInArrow(run, f"`{id_column}` {kind}, ids array<int>")
+    kinds = [f"`{c}` {texts.schema[c].dataType.simpleString()}" for c in (id_column, *keep)]
+    return texts.select(id_column, pieces_of(F.col(text_column)).alias("pieces"), *keep).mapInArrow(run, ", ".join([*kinds, "ids array<int>"]))
 
 
 def decoder(vocabulary: str = VOCABULARY):
