@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from hitlore.plans import drift_queries, requests_queries, requests_sql
+from hitlore.plans import drift_queries, log_queries, log_sql, requests_queries, requests_sql
 
 FLAGSHIP = "p5_found"
 
 
 def queries() -> dict:
-    return {**drift_queries.QUERIES, **requests_queries.QUERIES}
+    return {**drift_queries.QUERIES, **requests_queries.QUERIES, **log_queries.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**requests_sql.SQL}
+    return {**requests_sql.SQL, **log_sql.SQL}
