@@ -34,7 +34,7 @@ def feature_table(events: DataFrame, entities: DataFrame, *, blocks: int = 4) ->
         .groupBy("entity", F.coalesce(F.col("event_type"), F.lit("")).alias("event_type"))
         .agg(F.count(F.lit(1)).alias("n"), F.max("time").alias("last"), F.coalesce(F.sum("amount"), F.lit(0).cast("long")).alias("total"))
     )
-    placed = cut(counts.withColumn("block", block_of(F.col("event_type"), blocks)).repartition("entity"))
+    placed = cut(counts.withColumn("block", block_of(F.col("event_type"), blocks)).repartition("entity"), placed=True)
     table = entities.where(F.col("entity").isNotNull()).select("entity").distinct()
     for block in range(blocks):
         part = (

@@ -40,12 +40,21 @@ def shared_folder(spark: SparkSession) -> str:
     return "file://" + os.environ["HITLORE_SHARED"]
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows of df, written once to the shared folder; the partitioning and order of df are kept.
+def cut(df: DataFrame, *, placed: bool = False) -> DataFrame:
+    """The rows of df, written once to the shared folder.
 
-    An executor that is lost later takes nothing with it, because the files do not belong to it.
+    An executor that is lost later takes nothing with it, because the files do not belong to it. placed=True also keeps what
+    is known of the placement of the rows, so that joins and aggregations on the same keys need no exchange; an adaptive plan
+    does not tell its placement, so this one is made without.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    if not placed:
+        return df.checkpoint(eager=True)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
