@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hitlore.functions import net, wide
+from hitlore.functions import jsontext, net, wide
 from hitlore.operators.flooding import Field, name_similarity, select
 
 #: Kinds of values by a pattern over their text; a field is of a kind if KIND_SHARE of its values match. The text of an
@@ -48,19 +48,11 @@ TARGET = [
 
 
 def records(rows: DataFrame) -> DataFrame:
-    """The input columns with `values` (field to text) and `kinds_of` (field to type) for rows whose record is well formed.
-
-    Well formed is one JSON object without repeated keys and nothing beside it. A record is parsed inside brackets, so that
-    what follows the object is an error; two records in a line are two elements.
-    """
-    wrapped = F.try_parse_json(F.concat(F.lit("["), F.col("record"), F.lit("]")))
+    """The input columns with `values` (field to text) and `__fields` (field to variant) for rows whose record is well formed."""
     return (
-        rows.where(F.col("record").isNotNull())
-        .withColumn("__v", wrapped)
-        .withColumn("__fields", F.expr("try_variant_get(__v, '$[0]', 'map<string,variant>')"))
-        .where(F.col("__fields").isNotNull() & F.expr("try_variant_get(__v, '$[1]', 'variant') IS NULL"))
+        rows.withColumn("__fields", jsontext.single_object(F.col("record")))
+        .where(F.col("__fields").isNotNull())
         .withColumn("values", F.from_json("record", "map<string,string>"))
-        .drop("__v")
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hitlore import schema
-from hitlore.functions import net, text, wide
+from hitlore.functions import jsontext, net, text, wide
 from hitlore.sources.requests import valid_rows
 
 
@@ -24,7 +24,6 @@ def json_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def parsed(lines: DataFrame, column: str) -> DataFrame:
     """The columns of lines and those of the request in each line that keeps the ingest rules."""
-    whole = F.expr(f"try_variant_get(try_parse_json(concat('[', `{column}`, ']')), '$[1]', 'variant') IS NULL")
     raw = F.from_json(F.col(column), T.MapType(T.StringType(), T.StringType()))
     number = lambda name, kind: F.when(F.col("__m")[name].rlike(r"\A[0-9]{1,18}\z"), F.col("__m")[name]).try_cast(kind)
     value = lambda name: F.col("__m")[name]
@@ -33,7 +32,7 @@ def parsed(lines: DataFrame, column: str) -> DataFrame:
         "time": F.coalesce(number("time", "long"), F.lit(0).cast("long")), "body": body_bytes(value("body")), "headers": value("headers"),
         "host": value("host"), "proto": value("proto"), "location": value("location"), "tls_fingerprint": value("tls_fingerprint"),
     }
-    read = lines.withColumn("__m", raw).where(F.expr(f"try_parse_json(`{column}`)").isNotNull() & whole & F.col("__m").isNotNull())
+    read = lines.withColumn("__m", raw).where(jsontext.single_object(F.col(column)).isNotNull())
     return valid_rows(read.withColumns(fields).drop("__m"))
 
 
