@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
@@ -33,8 +34,10 @@ GAP = -1
 ROUNDS, STEPS = 4, 150
 #: A document of grade 0 is left out above the second severity, another one below the first.
 TRUSTED = (0.5, 1.5)
+#: Scale and thresholds that calibration starts from.
+USUAL = (0.5, (3.0, 3.5))
 #: Words of a piece of a document without harm; documents that the odds of a word are drawn to even by; prior weight of seeds.
-PIECE, CAUTION, SEED_PRIOR = 40, 6, 1.5
+PIECE, CAUTION, SEED_PRIOR = 40, 12, 1.5
 #: Windows a feature without prior must stand in; how much more than single words pairs are drawn to zero.
 SUPPORT, PAIR_PENALTY = 4, 4
 AT_ONCE = 256
@@ -75,7 +78,7 @@ def canonical(raw: str) -> str:
         return _DOUBLED.sub(r"\1", text) if len(text) > 3 else text
     if not text.isascii():
         text = "".join(c for c in unicodedata.normalize("NFKD", text.translate(LOOKALIKE)) if unicodedata.category(c) not in ("Mn", "Me", "Cf"))
-        text = text.translate(LOOKALIKE).replace("ß", "ss").replace("’", "").replace("œ", "oe")
+        text = text.lower().translate(LOOKALIKE).replace("ß", "ss").replace("’", "").replace("œ", "oe")
     text = re.sub(r"[._\-']", "", text)
     letters = sum(c.isalpha() for c in text)
     if letters == 0:
@@ -211,8 +214,6 @@ class Model:
                 begin[better], length[better], top[better] = first[better], size, here[better]
         return top, begin, length
 
-    def severity(self, scores: np.ndarray) -> np.ndarray:
-        return (1 / (1 + np.exp(-np.clip(scores[:, None] - self.thresholds[None, :], -40, 40)))).sum(1)
 
     def score_texts(self, texts: Iterable[str | None]) -> np.ndarray:
         """Expected severity of each text; 0 for a text without words."""
@@ -220,10 +221,15 @@ class Model:
         ids, starts = joined(runs)
         if not len(runs):
             return np.empty(0)
-        out = self.severity(self.best(ids, starts)[0])
+        out = severities(self.best(ids, starts)[0], self.thresholds)
         return np.where([len(r) > 0 for r in runs], out, 0.0)
 
 
+def severities(scores: np.ndarray, thresholds: np.ndarray) -> np.ndarray:
+    """Expected grades."""
+    return (1 / (1 + np.exp(-np.clip(scores[:, None] - thresholds[None, :], -40, 40)))).sum(1)
+
+
 def joined(runs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Runs of words in one array with a gap after each, so that no window sees words of two runs."""
     gap = np.full(max(WINDOWS), GAP, np.int64)
@@ -258,7 +264,7 @@ def _fit_ordinal(features: list[np.ndarray], grades: np.ndarray, prior: dict[int
     keys, start, rows, flat = keys[known], start[known], rows[kept], number[flat[kept]]
     l2 = np.where(keys < size, l2, PAIR_PENALTY * l2)
     w, n = start.copy(), len(features)
-    share = np.array([max((grades >= k).mean(), 1e-3) for k in range(1, GRADES)])
+    share = np.array([min(max((grades >= k).mean(), 1e-3), 0.999) for k in range(1, GRADES)])
     theta = np.log((1 - share) / share)
     m, v, mt, vt = np.zeros_like(w), np.zeros_like(w), np.zeros_like(theta), np.zeros_like(theta)
     reached = grades[:, None] >= np.arange(1, GRADES)[None, :]
@@ -277,80 +283,118 @@ def _fit_ordinal(features: list[np.ndarray], grades: np.ndarray, prior: dict[int
     return keys, w, theta
 
 
-def fit(texts: list[str], grades: np.ndarray, *, l2: float = 1.0) -> Model:
-    """A model from rated texts. Without a harmful one the seed words alone carry the scores.
+@dataclass
+class _Words:
+    """What is known of rated texts before any of them is fitted: their vocabulary, their runs of numbers, their sets of words."""
+
+    vocabulary: Vocabulary
+    seed: np.ndarray
+    runs: list[np.ndarray]
+    words: list[np.ndarray]
+
+    @classmethod
+    def of(cls, texts: list[str]) -> _Words:
+        plain = lru_cache(maxsize=500_000)(canonical)
+        sets = [set(map(plain, tokens(t))) for t in texts]
+        df = Counter(w for s in sets for w in s)
+        kept = sorted({w for w, n in df.items() if n >= 2 and "*" not in w} | _SEEDS)
+        ids = {w: i + 2 for i, w in enumerate(kept)}
+        seed = np.zeros(len(kept) + 2, bool)
+        seed[[ids[w] for w in _SEEDS]] = True
+        vocabulary = Vocabulary(ids, sorted(_SEEDS))
+        return cls(vocabulary, seed, [vocabulary.numbers(t) for t in texts], [np.array([ids[w] for w in s if w in ids], np.int64) for s in sets])
+
+
+def _fit_some(known: _Words, which: np.ndarray, grades: np.ndarray, l2: float) -> Model:
+    """Weights and thresholds from some of the texts, not yet calibrated.
 
     Windows of documents without harm are gathered over the rounds: in each round every piece of such a document adds its
-    most severe window if the model takes it for severe, so what was once mistaken for harm stays among the examples.
+    most severe window if the model takes it for severe, so what was once mistaken for harm stays among the examples. Raters
+    err: from the third round on, a document whose grade the model contradicts clearly is left out (TRUSTED).
     """
-    plain = lru_cache(maxsize=500_000)(canonical)
-    counts = [set(map(plain, tokens(t))) for t in texts]
-    df: Counter = Counter()
-    harm: Counter = Counter()
-    for c, g in zip(counts, grades, strict=True):
-        df.update(c)
+    grades, runs, size = grades[which], [known.runs[i] for i in which], len(known.seed)
+    df, harm = np.zeros(size), np.zeros(size)
+    for i, g in zip(which, grades, strict=True):
+        df[known.words[i]] += 1
         if g == GRADES - 1:
-            harm.update(c)
-    rate = min(max(float((grades == GRADES - 1).mean()) if len(texts) else 0.1, 0.02), 0.5)
+            harm[known.words[i]] += 1
+    rate = min(max(float((grades == GRADES - 1).mean()) if len(runs) else 0.1, 0.02), 0.5)
     # Odds of harm given a word, against those of any document, drawn to even by CAUTION documents.
-    odds = {w: float(np.log((harm[w] + CAUTION * rate) / (n - harm[w] + CAUTION * (1 - rate))) - np.log(rate / (1 - rate))) for w, n in df.items()}
-    kept = sorted({w for w, n in df.items() if n >= 2 and "*" not in w} | _SEEDS)
-    ids = {w: i + 2 for i, w in enumerate(kept)}
-    starred = sorted({w for w in kept if w in _SEEDS or (harm[w] >= 3 and odds[w] > 1.5 and len(w) > 3)})
-    vocabulary = Vocabulary(ids, starred)
-    size = len(kept) + 2
-    seed = np.zeros(size, bool)
-    seed[[ids[w] for w in _SEEDS]] = True
-    runs = [vocabulary.numbers(t) for t in texts]
-    flat, starts = joined(runs)
-    prior = {ids[w]: SEED_PRIOR for w in _SEEDS}
-    first = {ids[w]: float(np.clip(odds.get(w, 0.0), -1, 3)) for w in kept}
-    for w in _SEEDS:
-        first[ids[w]] += SEED_PRIOR
-    keys = np.array(sorted(first), np.int64)
-    model = Model(vocabulary, seed, keys, np.array([first[int(k)] for k in keys]), np.array([2.0, 3.0]))
+    odds = np.log((harm + CAUTION * rate) / (df - harm + CAUTION * (1 - rate))) - np.log(rate / (1 - rate))
+    prior = {int(i): SEED_PRIOR for i in np.flatnonzero(known.seed)}
+    start = np.where(df > 0, np.clip(odds, -1, 3), 0) + np.where(known.seed, SEED_PRIOR, 0)
+    model = Model(known.vocabulary, known.seed, np.arange(2, size), start[2:], np.array([2.0, 3.0]))
     rated = np.flatnonzero(grades > 0)
+    if not len(rated):
+        return model
+    flat, starts = joined(runs)
     lengths = [max(1, -(-len(r) // PIECE)) for r in runs]
-    begins = np.concatenate([s + PIECE * np.arange(n) for s, n in zip(starts, lengths, strict=True)]) if len(runs) else starts
+    begins = np.concatenate([s + PIECE * np.arange(n) for s, n in zip(starts, lengths, strict=True)])
     of = np.repeat(np.arange(len(runs)), lengths)
-    heads = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64) if len(runs) else starts
-    known: list[tuple[int, np.ndarray]] = []
+    heads = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
+    harmless_windows: list[tuple[int, np.ndarray]] = []
     seen: set[tuple[int, int]] = set()
     trusted = np.ones(len(runs), bool)
-    for round_ in range(ROUNDS if len(rated) else 0):
+    for round_ in range(ROUNDS):
         tops, at, n = model.best(flat, begins)
-        order = np.lexsort((-tops, of))
-        best = order[heads]
+        best = np.lexsort((-tops, of))[heads]
         if round_ > 1:
             scale, theta = _calibrate(tops[best], grades)
-            severity = Model(vocabulary, seed, keys, keys, theta).severity(tops[best] * scale)
+            severity = severities(tops[best] * scale, theta)
             trusted = np.where(grades > 0, severity >= TRUSTED[0], severity < TRUSTED[1])
         hard = np.flatnonzero((grades[of] == 0) & ((tops > model.thresholds[0] - 2.0) | np.isin(np.arange(len(of)), best)))
         fresh = np.array([i for i in hard if (int(at[i]), int(n[i])) not in seen], np.int64)
         seen.update(zip(at[fresh].tolist(), n[fresh].tolist(), strict=True))
-        known += list(zip(of[fresh].tolist(), _window_features(model, flat, at[fresh], n[fresh]), strict=True))
+        harmless_windows += list(zip(of[fresh].tolist(), _window_features(model, flat, at[fresh], n[fresh]), strict=True))
         use = rated[trusted[rated]]
-        harmless = [f for i, f in known if trusted[i]]
-        features = _window_features(model, flat, at[best[use]], n[best[use]]) + harmless
-        all_grades = np.concatenate([grades[use], np.zeros(len(harmless), int)])
+        # Revisions of a page share their windows; the same window is one example.
+        own = zip(_window_features(model, flat, at[best[use]], n[best[use]]), grades[use], strict=True)
+        harmful = {f.tobytes(): (f, g) for f, g in sorted(own, key=lambda x: x[1])}
+        harmless = {f.tobytes(): f for i, f in harmless_windows if trusted[i]}
+        if not harmful:
+            break
+        features = [f for f, _ in harmful.values()] + list(harmless.values())
+        all_grades = np.array([g for _, g in harmful.values()] + [0] * len(harmless), int)
         model.keys, model.weights, model.thresholds = _fit_ordinal(features, all_grades, prior, size, l2)
-    if len(rated):
-        tops, _, _ = model.best(flat, starts)
-        scale, model.thresholds = _calibrate(tops[trusted], grades[trusted])
+    return model
+
+
+def fit(texts: list[str], grades: np.ndarray, groups: Sequence | None = None, *, l2: float = 1.0) -> Model:
+    """A model from rated texts. Without a harmful one the seed words alone carry the scores.
+
+    Scale and thresholds are those of documents the weights were not fitted on: each half of the texts is scored by weights of
+    the other half. Texts of one group (the revisions of a page) are in one half.
+    """
+    known = _Words.of(texts)
+    every = np.arange(len(texts))
+    model = _fit_some(known, every, grades, l2)
+    if (grades > 0).any():
+        groups = every if groups is None else groups
+        half = np.array([zlib.crc32(str(g).encode()) % 2 for g in groups], int)
+        tops = np.zeros(len(texts))
+        for side in (0, 1):
+            own, other = np.flatnonzero(half == side), np.flatnonzero(half != side)
+            if len(own):
+                flat, starts = joined([known.runs[i] for i in own])
+                tops[own] = _fit_some(known, other, grades, l2).best(flat, starts)[0]
+        scale, model.thresholds = _calibrate(tops, grades)
         model.weights = model.weights * scale
     return pruned(model)
 
 
 def _calibrate(tops: np.ndarray, grades: np.ndarray) -> tuple[float, np.ndarray]:
-    """Scale and thresholds for the scores of whole documents: fitting saw more harmless windows than documents have."""
+    """Scale and thresholds for the scores of whole documents: fitting saw more harmless windows than documents have.
+
+    They are drawn to USUAL, which decides where next to nothing is rated and is outweighed by a few hundred documents.
+    """
     tops = np.maximum(tops, tops[np.isfinite(tops)].min())
-    scale, theta = np.ones(1), np.quantile(tops, [0.8, 0.85])
+    scale, theta = np.ones(1), np.array(USUAL[1])
     reached = grades[:, None] >= np.arange(1, GRADES)[None, :]
     state = [np.zeros_like(x) for x in (scale, scale, theta, theta)]
     for step in range(1, 401):
         p = 1 / (1 + np.exp(-np.clip(tops[:, None] * scale[0] - theta[None, :], -40, 40)))
         g = p - reached
-        for i, (x, grad) in enumerate(((scale, np.array([(g.sum(1) * tops).sum()]) + (scale - 1)), (theta, -g.sum(0)))):
+        for i, (x, grad) in enumerate(((scale, np.array([(g.sum(1) * tops).sum()]) + 4 * (scale - USUAL[0])), (theta, -g.sum(0) + 2 * (theta - np.array(USUAL[1]))))):
             a, b = state[2 * i], state[2 * i + 1]
             a += 0.1 * (grad - a)
             b += 0.01 * (grad**2 - b)
@@ -388,18 +432,19 @@ def graded(labels: DataFrame) -> DataFrame:
     return votes.select("doc_id", F.when(F.col("h") == 0, 0).when(F.col("h") == F.col("n"), 2).otherwise(1).alias("grade"))
 
 
-def rated_sample(documents: DataFrame, labels: DataFrame, most: int = MOST_RATED) -> list[tuple[int, str, int]]:
-    """At most `most` rated documents with their text and grade; which ones depends on doc_id alone."""
+def rated_sample(documents: DataFrame, labels: DataFrame, most: int = MOST_RATED) -> list[tuple]:
+    """doc_id, text, grade and page of at most `most` rated documents; which ones depends on doc_id alone."""
     chosen = graded(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    texts = documents.where(F.col("text").isNotNull() & (F.length("text") <= MOST_CHARS)).select("doc_id", "text")
+    group = F.col("page_id") if "page_id" in documents.columns else F.col("doc_id")
+    texts = documents.where(F.col("text").isNotNull() & (F.length("text") <= MOST_CHARS)).select("doc_id", "text", group.alias("page"))
     # At most `most` pairs of two numbers are sent to the executors.
     rows = texts.join(F.broadcast(chosen), "doc_id").collect()
-    return sorted((r.doc_id, r.text, r.grade) for r in rows)
+    return sorted((r.doc_id, r.text, r.grade, r.page) for r in rows)
 
 
 def train(documents: DataFrame, labels: DataFrame, *, most: int = MOST_RATED) -> Model:
     sample = rated_sample(documents, labels, most)
-    return fit([t for _, t, _ in sample], np.array([g for _, _, g in sample], int))
+    return fit([s[1] for s in sample], np.array([s[2] for s in sample], int), [s[3] for s in sample])
 
 
 def score(documents: DataFrame, model: Model, *, keep: Sequence[str] = ()) -> DataFrame:
