@@ -11,6 +11,7 @@ from hitlore.filterlang import from_json, where
 from hitlore.filterlang.ast import Field, Text
 from hitlore.functions import text
 from hitlore.operators import forest, ipstats, merge, reqfeatures, views
+from hitlore.session import cut
 from hitlore.sources import entries, requests
 from hitlore.sources.requests import load
 from hitlore.streaming import ingest
@@ -217,7 +218,8 @@ def a_label_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _model(spark: SparkSession, sf_dir: str):
-    all_features = reqfeatures.features(log(spark, sf_dir), KNOWN)
+    # Used for fitting and for scoring.
+    all_features = cut(reqfeatures.features(log(spark, sf_dir), KNOWN))
     examples = forest.labelled(all_features, load(spark, sf_dir, "position_labels"))
     return all_features, forest.fit(examples, settings=forest.Settings(trees=50))
 
