@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hitlore.functions import text
+from hitlore.operators.skew import numbered_within
 
 #: Seconds of the long and the short window, and the most events of an address that are remembered.
 LONG, SHORT, MOST = 300, 60, 1000
@@ -85,13 +86,14 @@ def exact(log: DataFrame, *, most: int = MOST) -> DataFrame:
 def ordered(log: DataFrame, *, most: int = MOST, chunk: int = 20_000) -> DataFrame:
     """The same for logs whose times never go back within an address, without Python.
 
-    Rows of an address are numbered; a chunk of them is processed together with the `most` - 1 rows before it, all that any of
-    its windows can reach. So a busy address is spread over many tasks.
+    Rows of an address are numbered by exact offsets; a chunk of them is processed together with the `most` - 1 rows before
+    it, all that any of its windows can reach. So a busy address is spread over many tasks. chunk must be at least `most`.
     """
     rows = _prepared(log).where(F.col("position").isNotNull() & F.col("ip").isNotNull()).withColumn("time", F.coalesce("time", F.lit(0).cast("long")))
-    number = F.row_number().over(Window.partitionBy("ip").orderBy("position")) - 1
-    own = F.floor(F.col("n") / chunk)
-    shared = rows.withColumn("n", number).withColumn("chunk", F.explode(F.when(F.col("n") % chunk >= chunk - (most - 1), F.array(own, own + 1)).otherwise(F.array(own))))
+    numbered = numbered_within(rows, "ip", "position")
+    own = F.floor(F.col("row_no") / chunk)
+    near_end = F.col("row_no") % chunk >= chunk - (most - 1)
+    shared = numbered.withColumn("chunk", F.explode(F.when(near_end, F.array(own, own + 1)).otherwise(F.array(own))))
     frame = Window.partitionBy("ip", "chunk").orderBy("position").rowsBetween(-(most - 1), 0)
     events = F.filter(F.collect_list(F.struct("time", "u", "a", "s")).over(frame), lambda e: e["time"] >= F.col("time") - LONG)
     found = shared.withColumn("e", events).where(F.col("chunk") == own)

@@ -6,6 +6,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def numbered_within(rows: DataFrame, key: str, seq: str, *, part_rows: int = 250_000) -> DataFrame:
+    """rows with `part`, `offset` and `row_no`: the place of a row among those of its key in the order of seq, from 0.
+
+    The input is divided into parts by seq; the rows of each key are counted per part, and the prefix sums of the counts are
+    the exact offset of a key in each part. So no task sorts more of a key than stands in one part. Parts are a function of
+    seq: a task that is run again after a loss numbers its rows as before. key and seq must not be NULL.
+    """
+    parted = rows.withColumn("part", F.floor(F.col(seq) / part_rows).cast("long"))
+    before = Window.partitionBy("__k").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    counts = parted.groupBy(F.col(key).alias("__k"), F.col("part").alias("__p")).agg(F.count(F.lit(1)).alias("__n"))
+    offsets = counts.select("__k", "__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("offset"))
+    placed = parted.withColumn("__place", F.row_number().over(Window.partitionBy(key, "part").orderBy(seq)))
+    joined = placed.join(offsets, (F.col(key) == F.col("__k")) & (F.col("part") == F.col("__p")))
+    return joined.withColumn("row_no", F.col("offset") + F.col("__place") - 1).drop("__k", "__p", "__place")
+
+
 def per_key(rows: DataFrame, *, chunk_rows: int = 100_000, part_rows: int = 250_000) -> DataFrame:
     """key, n, total, errors, first_time, last_time, last_seq, error_run: results per key, no task holding more than a chunk of one.
 
@@ -13,11 +29,9 @@ def per_key(rows: DataFrame, *, chunk_rows: int = 100_000, part_rows: int = 250_
     (boolean). error_run is the longest run of consecutive errors of the key in the order of seq: it depends on order over
     chunk boundaries, so it is merged from boundary states.
 
-    Method: the input is divided into parts by seq; the rows of each key are counted per part, the prefix sums of these
-    counts are the exact offset of a key in each part, and offset plus place within the part numbers the rows of a key.
-    Rows / chunk_rows is a row's chunk; each chunk of a key is reduced to a state (sums, and the run of errors at its head,
-    at its tail and within), and the states of a key, ordered by chunk, are merged. Parts are a function of seq, so a task
-    that is run again after a loss numbers its rows as before.
+    Method: keys are counted per part of the input, and prefix sums of the counts number the rows of a key (numbered_within).
+    Row number / chunk_rows is a row's chunk; each chunk of a key is reduced to a state (sums, and the run of errors at its
+    head, at its tail and within), and the states of a key, ordered by chunk, are merged.
 
     Defined cases: a NULL key or seq is left out; NULL amounts count as 0, a NULL error as no error, NULL times do not
     count; further columns are ignored; an empty table gives no rows.
@@ -28,20 +42,8 @@ def per_key(rows: DataFrame, *, chunk_rows: int = 100_000, part_rows: int = 250_
         "time",
         F.coalesce(F.col("amount"), F.lit(0)).cast("long").alias("amount"),
         F.coalesce(F.col("error"), F.lit(False)).alias("error"),
-        F.floor(F.col("seq") / part_rows).cast("long").alias("part"),
-    )
-    counts = clean.groupBy("key", "part").agg(F.count(F.lit(1)).alias("rows_here"))
-    before = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        F.col("key").alias("k"), F.col("part").alias("p"), F.coalesce(F.sum("rows_here").over(before), F.lit(0)).alias("offset")
-    )
-    within = Window.partitionBy("key", "part").orderBy("seq")
-    numbered = (
-        clean.withColumn("place", F.row_number().over(within))
-        .join(offsets, (F.col("key") == F.col("k")) & (F.col("part") == F.col("p")))
-        .withColumn("row_no", F.col("offset") + F.col("place") - 1)
-        .withColumn("chunk", F.floor(F.col("row_no") / chunk_rows))
     )
+    numbered = numbered_within(clean, "key", "seq", part_rows=part_rows).withColumn("chunk", F.floor(F.col("row_no") / chunk_rows))
     # A chunk lies in few parts. Runs are found within (key, part, chunk), which is where the rows are, and each such piece
     # becomes one state; row_no orders the pieces.
     piece = Window.partitionBy("key", "part").orderBy("seq")
