@@ -16,6 +16,7 @@ from hitlore.sources.entries import PROFILES
 
 #: Headers that most browsers send.
 COMMON = ("accept", "accept-language", "accept-encoding", "user-agent", "connection")
+#: The names of the numbers a row gives, in their order.
 STATIC_NAMES = (
     "header_count", "sec_fetch_header_count", "sec_ch_ua_present", "has_ua", "ua_len", "ua_claims_browser", "ua_known_bot_substring",
     "accept_present", "accept_language_present", "accept_language_is_wildcard", "accept_encoding_present", "connection_present",

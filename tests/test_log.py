@@ -18,7 +18,7 @@ from hitlore.schema import STORED
 from hitlore.sources import entries
 from hitlore.streaming import ingest
 
-SAMPLE = {"status": 200, "method": "GET", "uri": "/", "ip": "100.30.240.108", "port": 53712, "time": 1786123989, "host": "qdat.net", "proto": "Https", "location": "FR", "tls_fingerprint": 0}
+SAMPLE = {"status": 200, "method": "GET", "uri": "/", "ip": "100.30.240.108", "port": 53712, "time": 1786123989, "host": "site.example", "proto": "Https", "location": "FR", "tls_fingerprint": 0}
 
 
 def stored(position, **k):
@@ -32,7 +32,7 @@ def log(spark, rows):
 
 def test_json_lines_round_trip(spark, tmp_path):
     good = [
-        SAMPLE | {"headers": "host:qdat.net\nno colon\nx:a:b\nx:c", "body": [1, 2, 255], "tls_fingerprint": 2**128 - 1, "extra": 5},
+        SAMPLE | {"headers": "host:site.example\nno colon\nx:a:b\nx:c", "body": [1, 2, 255], "tls_fingerprint": 2**128 - 1, "extra": 5},
         SAMPLE | {"ip": "::1", "uri": "/a\nb", "location": "DE", "time": 3},
         {k: v for k, v in SAMPLE.items() if k not in ("time", "location", "tls_fingerprint")} | {"body": "text"},
     ]
@@ -44,7 +44,7 @@ def test_json_lines_round_trip(spark, tmp_path):
     back = Log.open(spark, str(tmp_path / "blocks"), 2)
     rows = back.rows.orderBy("position").collect()
     assert [r.position for r in rows] == [0, 1, 2] and [r.block_start for r in rows] == [0, 0, 2]
-    assert [tuple(h) for h in rows[0].headers] == [("host", "qdat.net"), ("x", "a:b"), ("x", "c")] and bytes(rows[0].body) == b"\x01\x02\xff"
+    assert [tuple(h) for h in rows[0].headers] == [("host", "site.example"), ("x", "a:b"), ("x", "c")] and bytes(rows[0].body) == b"\x01\x02\xff"
     assert bytes(rows[0].tls_fp) == b"\xff" * 16 and rows[1].uri == "/a\nb" and rows[1].ip4 is None and rows[1].location == "DE" and rows[0].location == "FR"
     assert rows[2].time == 0 and rows[2].location is None and bytes(rows[2].tls_fp) == bytes(16) and bytes(rows[2].body) == b"text"
     assert [r.position for r in back.get(1).collect()] == [1] and back.sync(1).first().start == 2
@@ -149,8 +149,8 @@ def test_ip_stats_against_a_plain_queue(spark, jitter, most):
 
 def test_features_of_the_sample(spark):
     names = ["host", "connection", "user-agent", "accept", "accept-language", "sec-fetch-mode", "pragma", "cache-control", "accept-encoding"]
-    values = {"host": "qdat.net", "accept-language": "*", "user-agent": "Mozilla/5.0 (compatible; ExampleBot/1.0; +https://example.invalid/bot.html)"}
-    row = stored(0, uri="/", port=53712, time=1786123989, host="qdat.net", headers=[(n, values.get(n, "v")) for n in names])
+    values = {"host": "site.example", "accept-language": "*", "user-agent": "Mozilla/5.0 (compatible; ExampleBot/1.0; +https://example.invalid/bot.html)"}
+    row = stored(0, uri="/", port=53712, time=1786123989, host="site.example", headers=[(n, values.get(n, "v")) for n in names])
     r = reqfeatures.features(log(spark, [row]), reqfeatures.Known(("bot",))).first()
     want = {
         "header_count": 9, "sec_fetch_header_count": 1, "sec_ch_ua_present": 0, "has_ua": 1, "ua_claims_browser": 0, "ua_known_bot_substring": 1, "accept_present": 1,
