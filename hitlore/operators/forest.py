@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hitlore.operators.reqfeatures import NAMES
+from hitlore.operators.reqfeatures import NAMES, Known, features
 from hitlore.session import shared_folder
 
 
@@ -30,13 +30,26 @@ class Settings:
     seed: int = 42
 
 
-def labelled(features: DataFrame, labels: DataFrame) -> DataFrame:
-    """A row of features for each label of a stored position: repeated and contradicting labels are examples of their own.
+def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """A row of rows for each label of a stored position: repeated and contradicting labels are examples of their own.
 
     Labels that are NULL or of positions that are not stored are left out.
     """
     known = labels.where(F.col("label").isNotNull()).select("label_pos", "position", "label")
-    return known.join(features, "position")
+    return known.join(rows, "position")
+
+
+def training_rows(log: DataFrame, labels: DataFrame, known: Known = Known(), *, labelled_only: bool = False) -> DataFrame:
+    """label_pos, position, label and the 38 numbers of every labelled row.
+
+    The recent past of an address is that of the whole log. labelled_only=True lets it consist of the labelled rows alone, in
+    the order of the labels, as older training runs had it.
+    """
+    if not labelled_only:
+        return labelled(features(log, known), labels)
+    rows = labelled(log, labels)
+    own = features(rows.withColumn("position", F.col("label_pos").cast("long")), known).withColumnRenamed("position", "label_pos")
+    return rows.select("label_pos", "position", "label").join(own, "label_pos")
 
 
 def fit(examples: DataFrame, columns: Sequence[str] = NAMES, settings: Settings = Settings()) -> PipelineModel:
@@ -105,9 +118,9 @@ def trees_of(spark: SparkSession, model: PipelineModel) -> Trees:
     )
 
 
-def scored(features: DataFrame, trees: Trees) -> DataFrame:
-    """features with `score`, the share of trees that vote for a bot (hard votes, not averaged leaf shares)."""
-    shared = features.sparkSession.sparkContext.broadcast(trees)
+def scored(rows: DataFrame, trees: Trees) -> DataFrame:
+    """rows of features with `score`, the share of trees that vote for a bot (hard votes, not averaged leaf shares)."""
+    shared = rows.sparkSession.sparkContext.broadcast(trees)
 
     @F.pandas_udf(T.DoubleType())
     def vote(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
@@ -115,7 +128,7 @@ def scored(features: DataFrame, trees: Trees) -> DataFrame:
         for columns in batches:
             yield pd.Series(own.share(np.column_stack([c.to_numpy(np.float64) for c in columns])))
 
-    return features.withColumn("score", vote(*(F.col(c) for c in trees.columns)))
+    return rows.withColumn("score", vote(*(F.col(c) for c in trees.columns)))
 
 
 def verdict(score: Column, *, human_max: float = 0.25, bot_min: float = 0.75, inverted: bool = False) -> Column:

@@ -223,3 +223,29 @@ def test_ingest_goes_on_after_a_restart(spark, tmp_path):
     rows = spark.read.option("basePath", out).parquet(out).orderBy("position").collect()
     assert [r.position for r in rows] == list(range(48)) and [r.uri for r in rows] == [f"/{i}" for i in range(60) if i % 5]
     assert {r.block_start for r in rows} == {0, 10, 20, 30, 40}
+
+
+def test_jobs(spark, tmp_path, capsys):
+    from hitlore.__main__ import main
+
+    rows = [stored(p, status=404 if p % 2 else 200, method="POST" if p % 2 else "GET", ip=bytes([p % 5]) * 16, time=1000 + p) for p in range(40)]
+    for i in (0, 1):
+        sinks.write_blocks(log(spark, rows[i * 20 : i * 20 + 20]), str(tmp_path / f"log{i}"), block_rows=20)
+    main(["merge", "-o", str(tmp_path / "all"), "-b", "10", "-i", str(tmp_path / "log0"), str(tmp_path / "log1")])
+    merged = Log.open(spark, str(tmp_path / "all"), 10)
+    assert [r.uri for r in merged.rows.orderBy("position").collect()] == [f"/p{p}" for p in range(40)]
+    (tmp_path / "labels.json").write_text(json.dumps({str(p): bool(p % 2) for p in range(0, 40, 3)}))
+    for more in ([], ["--labelled-only"]):
+        main(["train", "-l", str(tmp_path / "all"), "--labels", str(tmp_path / "labels.json"), "-m", str(tmp_path / "model"), "--trees", "5", *more])
+    capsys.readouterr()
+    main(["score", "-l", str(tmp_path / "all"), "-m", str(tmp_path / "model"), "--first", "10", "--beyond", "14"])
+    shown = [line.split("|")[1:4] for line in capsys.readouterr().out.splitlines() if line.startswith("|1")]
+    assert [int(x[0]) for x in shown] == [10, 11, 12, 13] and [x[2].strip() for x in shown] == ["human", "bot", "human", "bot"]
+
+
+def test_training_on_labelled_rows_alone(spark):
+    rows = [stored(p, time=1000 + p) for p in range(10)]
+    labels = spark.createDataFrame([(0, 9, True), (1, 2, False)], "label_pos int, position long, label boolean")
+    whole = {r.position: r.ip_req_rate_5m for r in forest.training_rows(log(spark, rows), labels).collect()}
+    alone = {r.position: r.ip_req_rate_5m for r in forest.training_rows(log(spark, rows), labels, labelled_only=True).collect()}
+    assert whole == {9: 10.0, 2: 3.0} and alone == {9: 1.0, 2: 2.0}
