@@ -221,7 +221,7 @@ def _model(spark: SparkSession, sf_dir: str):
     # Used for fitting and for scoring.
     all_features = cut(reqfeatures.features(log(spark, sf_dir), KNOWN))
     examples = forest.labelled(all_features, load(spark, sf_dir, "position_labels"))
-    return all_features, forest.fit(examples, settings=forest.Settings(trees=50))
+    return all_features, forest.fit(examples)
 
 
 def a_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import ipaddress
 import json
 import math
+import os
 import random
 from collections import deque
 
@@ -14,10 +15,12 @@ from hitlore import sinks
 from hitlore.api import Log
 from hitlore.functions import text
 from hitlore.operators import forest, ipstats, merge, reqfeatures, views
+from hitlore.plans import log_queries
 from hitlore.schema import STORED
 from hitlore.sources import entries
 from hitlore.streaming import ingest
 
+SF = "/root/testdata/sf0.001"
 SAMPLE = {"status": 200, "method": "GET", "uri": "/", "ip": "100.30.240.108", "port": 53712, "time": 1786123989, "host": "site.example", "proto": "Https", "location": "FR", "tls_fingerprint": 0}
 
 
@@ -190,6 +193,12 @@ def test_forest_votes(spark, tmp_path):
     assert top.feature == "a"
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_the_registered_verdicts_are_those_of_the_whole_forest(spark):
+    _, model = log_queries._model(spark, SF)
+    assert len(forest.trees_of(spark, model).roots) == forest.Settings().trees == 200
+
+
 def test_labels_and_verdicts(spark):
     labels = spark.createDataFrame([(0, 1, True), (1, 1, False), (2, 1, True), (3, 99, True), (4, 2, None)], "label_pos int, position long, label boolean")
     got = forest.labelled(log(spark, [stored(1), stored(2)]).select("position", "uri"), labels).orderBy("label_pos").collect()
