@@ -7,9 +7,9 @@ import re
 import unicodedata
 
 # Markup that stands between words and shows none of its own.
-_COMMENT = re.compile(r"<!--.*?-->", re.S)
-_REFERENCE = re.compile(r"<ref\b[^<>]*?/>|<ref\b[^<>]*>.*?</ref\s*>", re.S | re.I)
-_TEMPLATE = re.compile(r"\{\{[^{}]*\}\}")
+_COMMENT = re.compile(r"<!--(.*?)-->", re.S)
+_REFERENCE = re.compile(r"<ref\b([^<>]*?)/>|<ref\b([^<>]*)>(.*?)</ref\s*>", re.S | re.I)
+_TEMPLATE = re.compile(r"\{\{([^{}]*)\}\}")
 _LINK = re.compile(r"\[\[(?:[^\[\]|]*\|)*([^\[\]|]*)\]\]")
 _WEB_LINK = re.compile(r"\[(?:https?|ftp)://[^\s\[\]]*([^\[\]]*)\]")
 _TAG = re.compile(r"</?([A-Za-z][A-Za-z0-9]*)\b[^<>]*>")
@@ -37,7 +37,7 @@ def shown(text: str, aside: list[str] | None = None) -> str:
 
     def pass_over(m: re.Match) -> str:
         if aside is not None:
-            aside.append(m[0][2:-2])
+            aside.extend(g for g in m.groups() if g)
         return " "
 
     if "<" in text:
@@ -70,9 +70,7 @@ def word_runs(text: str | None) -> list[list[str]]:
     """The words of a text, and those of each part that is passed over in it (a passage may stand inside a template)."""
     if not text:
         return []
-    aside: list[str] = []
-    runs = [WORD.findall(fold(shown(text, aside)))]
-    for part in aside:
-        if len(part) > 24:
-            runs.append(WORD.findall(fold(shown(part))))
+    runs, parts = [], [text]
+    for part in parts:  # grows by what is passed over in each part
+        runs.append(WORD.findall(fold(shown(part, parts))))
     return [r for r in runs if r]

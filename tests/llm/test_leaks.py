@@ -60,3 +60,15 @@ def test_equal_windows_have_equal_signatures():
 def test_words():
     assert plain.words("It&#39;s <b>Café</b>''s'' {{x|{{y}}}}[[a|b c]] [[d]]<ref>no</ref>-<!-- no -->½") == ["it", "s", "cafes", "b", "c", "d", "1", "2"]
     assert plain.words(None) == [] and plain.words(" ​ ") == []
+
+
+def test_passages_inside_what_is_passed_over_within_another():
+    index = leaks.Index([(i, t) for i, t in ITEMS if t])
+    p, q = words_at(4, 20, 14), words_at(3, 5, 12)
+    texts = [
+        f"<ref>{{{{cite|title={p}}}}}</ref>", f"<!-- <ref>{{{{cite|{p}}}}}</ref> {{{{x|{q}}}}} -->", f"{{{{a|<ref>{{{{b|{p}}}}}</ref>}}}}", "{{one}}", "<ref>one</ref>",
+        f"<ref name='{p}'/>", f"<ref name='{words_at(3, 5, 6)}'>{words_at(3, 11, 6)}</ref>", f"{words_at(3, 5, 6)} {{{{{words_at(3, 11, 6)}}}}}",
+    ]
+    found = set(index.search(list(range(len(texts))), texts))
+    assert found == {(0, 4), (1, 4), (1, 3), (2, 4), (3, 11), (4, 11), (5, 4)}
+    assert plain.word_runs("<ref>a</ref><ref name=b/>{{c}}<!--d-->") == [["d"], ["a"], ["name", "b"], ["c"]]
