@@ -46,8 +46,8 @@ CHUNKS_KEPT = 300_000
 
 _INSIDE = "*.\\-'’­​‌‍⁠﻿$@"
 TOKEN = re.compile(rf"\w+(?:[{_INSIDE}]{{1,3}}\w+)*")
-#: Single letters set apart: p a t h e t i c. The first pattern only says whether the second is worth trying.
-MAYBE_APART = re.compile(r" \w \w \w ")
+#: Single letters set apart: p a t h e t i c. The first pattern, which the end of the second matches, only says whether that is worth trying.
+MAYBE_APART = re.compile(r" \w \w \w(?!\w)")
 APART = re.compile(r"(?<!\w)[^\W\d_](?: [^\W\d_]){3,}(?!\w)")
 _DOUBLED = re.compile(r"(.)\1+")
 _EDGES = "'\".,;:!?()[]{}|=*<>«»„“”–—"

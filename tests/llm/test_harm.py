@@ -26,6 +26,11 @@ def test_stars_and_letters_apart():
     assert v.numbers(None).tolist() == [] and v.numbers(" \n").tolist() == []
 
 
+@pytest.mark.parametrize("text", ["\nf u c k!", '"f u c k"', "<p>f u c k</p>", "f u c k", "(f u c k)", "so f u c k\nyou"])
+def test_letters_apart_beside_any_sign(text):
+    assert 2 in harm.Vocabulary({"fuck": 2}).numbers(text).tolist()
+
+
 def texts(n=120):
     rng = np.random.default_rng(2)
     words = [f"word{i}" for i in range(60)]
