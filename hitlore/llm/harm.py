@@ -45,12 +45,14 @@ AT_ONCE = 256
 CHUNKS_KEPT = 300_000
 
 _INSIDE = "*.\\-'’­​‌‍⁠﻿$@"
-TOKEN = re.compile(rf"\w+(?:[{_INSIDE}]{{1,3}}\w+)*")
+#: Stars stand for any number of letters, at the end of a word too.
+TOKEN = re.compile(rf"\w+(?:(?:[{_INSIDE}]{{1,3}}|\*+)\w+)*\**")
 #: Single letters set apart: p a t h e t i c. The first pattern, which the end of the second matches, only says whether that is worth trying.
-MAYBE_APART = re.compile(r" \w \w \w(?!\w)")
-APART = re.compile(r"(?<!\w)[^\W\d_](?: [^\W\d_]){3,}(?!\w)")
+MAYBE_APART = re.compile(r" \w \w(?!\w)")
+APART = re.compile(r"(?<!\w)[^\W\d_](?: [^\W\d_]){2,}(?!\w)")
 _DOUBLED = re.compile(r"(.)\1+")
 _EDGES = "'\".,;:!?()[]{}|=*<>«»„“”–—"
+_ENDS = _EDGES.replace("*", "")
 #: Letters of other scripts that look like Latin ones, and digits and signs that stand for letters.
 LOOKALIKE = str.maketrans("аеорсхуіјѕһԁԛԝкмтнвгαορνικτυηɡıаε", "aeopcxyijshdqwkmthbraopviktungiae")
 LEET = str.maketrans("0134578@$", "oieastbas")
@@ -93,15 +95,22 @@ def canonical(raw: str) -> str:
 _SEEDS = frozenset(canonical(s) for s in SEEDS)
 
 
+def _together(apart: re.Match) -> str:
+    word = apart[0].replace(" ", "")
+    if len(word) > 3:
+        return f"{word} {word[1:]}"
+    return word if canonical(word) in _SEEDS else apart[0]
+
+
 def chunks(text: str | None) -> list[str]:
     """What stands between white space; letters set apart come as one chunk, and once more without the first.
 
-    The first letter may be a word of its own ("a p a t h e t i c ...").
+    The first letter may be a word of its own ("a p a t h e t i c ..."). Three letters are one chunk only if they are a seed word.
     """
     if not text:
         return []
     if MAYBE_APART.search(text):
-        text = APART.sub(lambda m: (w := m[0].replace(" ", "")) + " " + w[1:], text)
+        text = APART.sub(_together, text)
     return text.split()
 
 
@@ -127,7 +136,7 @@ class Vocabulary:
 
     def of_chunk(self, chunk: str) -> tuple[int, ...]:
         """The numbers of the tokens of a chunk."""
-        bare = chunk.strip(_EDGES).lower()
+        bare = chunk.lstrip(_EDGES).rstrip(_ENDS).lower()
         if bare.isascii() and bare.isalpha():
             return (self.ids.get(_DOUBLED.sub(r"\1", bare) if len(bare) > 3 else bare, 0),)
         if bare.isdigit():
@@ -135,9 +144,11 @@ class Vocabulary:
         return tuple(map(self.number, TOKEN.findall(chunk)))
 
     def resolve(self, word: str) -> str:
-        """The harmful word that a word with stars stands for, if there is one: a star is one letter or more."""
+        """The harmful word that a word with stars stands for, if there is one: a star is one letter or more, at the end just one."""
         pattern = re.compile("".join("[a-z]+" if part.startswith("*") else re.escape(part) for part in re.findall(r"\*+|[^*]+", word)))
-        fits = [w for w in self.starred if abs(len(w) - len(word)) <= 1 and pattern.fullmatch(w)]
+        # At the end a star may be a sign of its own (A*): there the length must be right.
+        apart = 0 if word.endswith("*") else 1
+        fits = [w for w in self.starred if abs(len(w) - len(word)) <= apart and pattern.fullmatch(w)]
         return min(fits, key=lambda w: (abs(len(w) - len(word)), w)) if fits else word.replace("*", "")
 
     def numbers(self, text: str | None) -> np.ndarray:
@@ -294,7 +305,7 @@ class _Words:
 
     @classmethod
     def of(cls, texts: list[str]) -> _Words:
-        plain = lru_cache(maxsize=500_000)(canonical)
+        plain = lru_cache(maxsize=500_000)(lambda t: canonical(t.rstrip("*")))
         sets = [set(map(plain, tokens(t))) for t in texts]
         df = Counter(w for s in sets for w in s)
         kept = sorted({w for w, n in df.items() if n >= 2 and "*" not in w} | _SEEDS)

@@ -31,6 +31,16 @@ def test_letters_apart_beside_any_sign(text):
     assert 2 in harm.Vocabulary({"fuck": 2}).numbers(text).tolist()
 
 
+def test_many_stars_stars_at_the_end_and_three_letters_apart():
+    v = harm.Vocabulary({"fucker": 2, "fuck": 3, "ass": 4, "a": 5, "bold": 6, "b": 7, "c": 8, "die": 9, "#": 10, "d": 11, "i": 12, "e": 13}, ["ass", "fuck", "fucker"])
+    assert v.numbers("f****r F***, (f***) f*** 'f*****'").tolist() == [2, 3, 3, 3, 2]
+    assert v.numbers("A* **bold** bold* 1928* *** * a").tolist() == [5, 6, 6, 10, 5]
+    assert v.numbers("(a s s) a b c\na s s").tolist() == [4, 5, 7, 8, 4]
+    assert v.numbers("d i e").tolist() == [11, 12, 13]
+    assert v.numbers("a b c").tolist() == [5, 7, 8]
+    assert harm.tokens("f****r f*** a*b*c") == ["f****r", "f***", "a*b*c"]
+
+
 def texts(n=120):
     rng = np.random.default_rng(2)
     words = [f"word{i}" for i in range(60)]
