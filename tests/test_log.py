@@ -8,6 +8,7 @@ import random
 from collections import deque
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -222,6 +223,25 @@ def test_streams(spark, tmp_path):
     assert sorted(r.position for r in spark.read.parquet(out).collect()) == [p for p, r in enumerate(rows) if p % 3 == 0 and r[9] >= 1400]
 
 
+def test_a_busy_address_of_a_stream_comes_in_pieces(monkeypatch):
+    monkeypatch.setattr(ingest, "PIECE", 70, raising=False)
+
+    class State:
+        exists = hasTimedOut = False
+
+        def update(self, value):
+            self.value = value
+
+    order = random.Random(6).sample(range(500), 500)
+    frame = pd.DataFrame({"position": order, "ip": [b"x"] * 500, "time": [p * 7 for p in order], "u": [p % 11 for p in order], "a": 1, "s": [p % 2 == 0 for p in order]})
+    state, memory = State(), ipstats.Recent(20)
+    pieces = list(ingest._advance((b"x",), iter([frame[:200], frame[200:]]), state, 20, None))
+    got = pd.concat(pieces)
+    assert max(map(len, pieces)) == 70 and got["position"].tolist() == list(range(500))
+    assert [tuple(r) for r in got[list(ipstats.NAMES)].itertuples(index=False)] == [memory.add(p * 7, p % 11, 1, p % 2 == 0) for p in range(500)]
+    assert state.value == tuple(map(list, zip(*memory.events, strict=True)))
+
+
 def test_ingest_goes_on_after_a_restart(spark, tmp_path):
     source, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
     columns = "entry_id long, status int, method string, uri string, ip string, port int, time long, body binary, headers string, host string, proto string, location string, tls_fingerprint string"
