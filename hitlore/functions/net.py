@@ -93,14 +93,18 @@ def route(uri: Column) -> Column:
     return F.array_join(F.slice(F.array_remove(F.split(path_of(uri), "/"), ""), 1, 2), "/")
 
 
+#: Epoch seconds of the years 0000 to 9999: only such a time has a day.
+FIRST_TIME, LAST_TIME = -62167219200, 253402300799
+
+
 def day_of(time: Column) -> Column:
-    """UTC calendar day as YYYY-MM-DD, whatever the session's zone; NULL for NULL or 0."""
-    return F.when(time != 0, F.date_format(date_of_day(day_number(time)), "yyyy-MM-dd"))
+    """UTC calendar day as YYYY-MM-DD, whatever the session's zone; NULL for NULL, 0 and a time outside the years 0000 to 9999."""
+    return F.date_format(date_of_day(day_number(time)), "yyyy-MM-dd")
 
 
 def day_number(time: Column) -> Column:
-    """Days since 1970-01-01 of epoch seconds."""
-    return F.floor(time / F.lit(86400)).cast("int")
+    """Days since 1970-01-01 of epoch seconds; NULL for NULL, 0 and a time outside the years 0000 to 9999."""
+    return F.when((time != 0) & time.between(FIRST_TIME, LAST_TIME), F.floor(time / F.lit(86400)).cast("int"))
 
 
 def date_of_day(day: Column) -> Column:

@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def trailing_totals(daily: DataFrame, periods: Sequence[int] = (7, 30)) -> DataFrame:
+def trailing_totals(daily: DataFrame, periods: Sequence[int] = (7, 30), *, active: bool = False) -> DataFrame:
     """entity, day and, for each period p, total_p and mean_p over the p days that end with day; days without rows count.
 
     daily has the columns entity, day (int, days since 1970-01-01) and n. The calendar of an entity runs from its first to
-    its last day in daily. mean_p is total_p / p.
+    its last day in daily. mean_p is total_p / p. active=True leaves out days whose longest total has no row of daily in it, so a
+    calendar with a hole of years costs nothing.
 
     Method: calendar dates and daily totals meet in coarse date buckets as wide as the longest period; a total is put into
     the bucket of its day and the next one, which holds every date whose period can reach it. Both sides are placed by
@@ -31,10 +32,12 @@ def trailing_totals(daily: DataFrame, periods: Sequence[int] = (7, 30)) -> DataF
     bucket = lambda c: F.floor(c / F.lit(width)).cast("int")
     # Daily rows are few against the input: at most one per entity and day. They are placed by entity once.
     span = clean.groupBy("entity").agg(F.min("day").alias("first"), F.max("day").alias("last"))
-    chunks = (
-        span.select("entity", "first", "last", F.explode(F.sequence(bucket(F.col("first")), bucket(F.col("last")))).alias("bucket"))
-        .repartition("entity", "bucket")
-    )
+    if active:
+        near = clean.select("entity", F.explode(F.array(bucket(F.col("day")), bucket(F.col("day")) + 1)).alias("bucket")).distinct()
+        chunks = near.join(span, "entity").where(F.col("bucket") * width <= F.col("last")).repartition("entity", "bucket")
+    else:
+        of_span = F.explode(F.sequence(bucket(F.col("first")), bucket(F.col("last")))).alias("bucket")
+        chunks = span.select("entity", "first", "last", of_span).repartition("entity", "bucket")
     dates = chunks.select(
         "entity",
         "bucket",
@@ -58,5 +61,5 @@ def trailing_totals(daily: DataFrame, periods: Sequence[int] = (7, 30)) -> DataF
     sums = [
         F.coalesce(F.sum(F.when(F.col("t.of_day") > F.col("d.day") - p, F.col("t.n"))), F.lit(0)).cast("long").alias(f"total_{p}") for p in periods
     ]
-    out = d.join(t, within, "left").groupBy(F.col("d.entity"), F.col("d.bucket"), F.col("d.day")).agg(*sums)
+    out = d.join(t, within, "inner" if active else "left").groupBy(F.col("d.entity"), F.col("d.bucket"), F.col("d.day")).agg(*sums)
     return out.select("entity", "day", *(c for p in periods for c in (f"total_{p}", (F.col(f"total_{p}") / p).alias(f"mean_{p}"))))

@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from hitlore.functions import net
 from hitlore.operators import events, frequent, sessions, sketch, skew, trailing
+from hitlore.session import cut
 from hitlore.sources import requests as R
 
 #: Parameters of the queries.
 MIN_TYPE_REQUESTS, SHARE_P3, SHARE_P6, SHARE_P7 = 5, 0.02, 0.15, 0.05
+#: A relative standard error of at most 0.8 percent; intervals of five standard errors.
+REGISTERS_P6, Z_P6 = sketch.registers_for(0.008), 5.0
 
 
 def valid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,12 +67,12 @@ def p3_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # 4 ------------------------------------------------------------------------------------------------------------------
 def daily_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = R.requests(valid(spark, sf_dir).where(F.col("time") != 0))
+    rows = R.requests(valid(spark, sf_dir).where(net.day_number(F.col("time")).isNotNull()))
     return rows.groupBy(F.col("ip_hex").alias("entity"), net.day_number(F.col("time")).alias("day")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def p4_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    totals = trailing.trailing_totals(daily_requests(spark, sf_dir))
+def p4_days(spark: SparkSession, sf_dir: str, *, active: bool = False) -> DataFrame:
+    totals = trailing.trailing_totals(daily_requests(spark, sf_dir), active=active)
     return totals.select(
         F.col("entity").alias("ip_hex"),
         F.date_format(net.date_of_day(F.col("day")), "yyyy-MM-dd").alias("day"),
@@ -80,8 +83,13 @@ def p4_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p4_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p4_days(spark, sf_dir)
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p4_totals(spark, sf_dir).where((F.col("total_7") == 0) & (F.col("total_30") >= 10)).select("ip_hex", "day")
+    """Days without a request in the last 30 can't be found, so they aren't made."""
+    return p4_days(spark, sf_dir, active=True).where((F.col("total_7") == 0) & (F.col("total_30") >= 10)).select("ip_hex", "day")
 
 
 # 5 ------------------------------------------------------------------------------------------------------------------
@@ -105,57 +113,58 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # 6 ------------------------------------------------------------------------------------------------------------------
 def seen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """day, host, item: an address that made a request on a host on a day. Copies change no set of addresses."""
-    return valid(spark, sf_dir).where(F.col("time") != 0).select(
-        net.day_of(F.col("time")).alias("day"), F.col("host_name").alias("host"), F.col("ip_hex").alias("item")
-    )
+    """day (number), host, item: an address that made a request on a host on a day. Copies change no set of addresses."""
+    rows = valid(spark, sf_dir).select(net.day_number(F.col("time")).alias("day"), F.col("host_name").alias("host"), F.col("ip_hex").alias("item"))
+    return rows.where(F.col("day").isNotNull())
+
+
+def p6_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registers per day and host, written once; all coarser groups are merged from them."""
+    return cut(sketch.merge_sketches(sketch.partial_sketches(seen(spark, sf_dir), ["day", "host"], REGISTERS_P6), ["day", "host"], REGISTERS_P6))
 
 
-def p6_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Merged sketches per day and host; all coarser groups are merged from them."""
-    return sketch.merge_sketches(sketch.partial_sketches(seen(spark, sf_dir), ["day", "host"]), ["day", "host"])
+LEVELS_P6 = (("day_host", ("day", "host")), ("day", ("day",)), ("host", ("host",)), ("all", ()))
+
+
+def _day_text() -> F.Column:
+    return F.date_format(net.date_of_day(F.col("day").cast("int")), "yyyy-MM-dd")
 
 
 def p6_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     """level, day, host, estimate, low, high: distinct addresses per day and host, per day, per host and in all."""
-    from hitlore.session import cut
-
-    cells = cut(p6_sketches(spark, sf_dir))
+    cells = p6_cells(spark, sf_dir)
     out = None
-    for level, by in (("day_host", ["day", "host"]), ("day", ["day"]), ("host", ["host"]), ("all", [])):
-        merged = cells if len(by) == 2 else sketch.merge_sketches(cells, by)
-        named = sketch.estimates(merged)
+    for level, by in LEVELS_P6:
+        named = sketch.estimates(cells if len(by) == 2 else sketch.merge_sketches(cells, by, REGISTERS_P6), Z_P6)
         for c in ("day", "host"):
             if c not in by:
                 named = named.withColumn(c, F.lit(None).cast("string"))
-        named = named.select(F.lit(level).alias("level"), "day", "host", "estimate", "low", "high")
+        named = named.select(F.lit(level).alias("level"), _day_text().alias("day"), "host", "estimate", "low", "high")
         out = named if out is None else out.unionByName(named)
     return out
 
 
+def p6_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """level, day, host, n, inside: the exact number of distinct addresses of each group of p6_distinct, and whether it lies
+    between the bounds of the estimate. This query measures the intervals; no other one counts exactly."""
+    rows = seen(spark, sf_dir).withColumn("day", _day_text())
+    exact = None
+    for level, by in LEVELS_P6:
+        own = rows.select(*(F.col(c) if c in by else F.lit(None).cast("string").alias(c) for c in ("day", "host")), "item").distinct()
+        own = own.groupBy("day", "host").agg(F.count(F.lit(1)).alias("n")).select(F.lit(level).alias("level"), "day", "host", "n")
+        exact = own if exact is None else exact.unionByName(own)
+    d, e = p6_distinct(spark, sf_dir).alias("d"), exact.alias("e")
+    same = (F.col("d.level") == F.col("e.level")) & F.col("d.day").eqNullSafe(F.col("e.day")) & F.col("d.host").eqNullSafe(F.col("e.host"))
+    inside = F.col("e.n").between(F.col("d.low"), F.col("d.high"))
+    return e.join(d, same, "left").select("e.level", "e.day", "e.host", "e.n", F.coalesce(inside, F.lit(False)).alias("inside"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sketches decide the pairs whose interval is clear of the share; the others are counted exactly.
-
-    The intervals are at six standard deviations. A pair above the share by its bounds is found, one below isn't; the
-    exact count covers the days and hosts of the pairs in between.
-    """
-    from hitlore.session import cut
-
-    cells = cut(p6_sketches(spark, sf_dir))
-    pairs = sketch.estimates(cells, z=6.0)
-    days = sketch.estimates(sketch.merge_sketches(cells, ["day"]), z=6.0).select("day", F.col("low").alias("day_low"), F.col("high").alias("day_high"))
-    judged = cut(
-        pairs.join(days, "day")
-        .where(F.col("high") >= SHARE_P6 * F.col("day_low"))
-        .select("day", "host", (F.col("low") >= SHARE_P6 * F.col("day_high")).alias("sure"))
-    )
-    doubt = judged.where(~F.col("sure")).select("day", "host")
-    rows = seen(spark, sf_dir)
-    # At most 1/share and a few hosts of a day are in doubt, whatever the number of rows.
-    of_day = rows.join(doubt.select("day").distinct(), "day", "left_semi").select("day", "item").distinct().groupBy("day").agg(F.count(F.lit(1)).alias("of"))
-    of_pair = rows.join(doubt, ["day", "host"], "left_semi").distinct().groupBy("day", "host").agg(F.count(F.lit(1)).alias("n"))
-    checked = of_pair.join(of_day, "day").where(F.col("n") * 100 >= F.col("of") * int(SHARE_P6 * 100)).select("day", "host")
-    return judged.where("sure").select("day", "host").unionByName(checked)
+    """Counts of pairs and days from registers, each rounded to the whole number that a count is."""
+    cells = p6_cells(spark, sf_dir)
+    pairs = sketch.estimates(cells).select("day", "host", F.round("estimate").alias("n"))
+    days = sketch.estimates(sketch.merge_sketches(cells, ["day"], REGISTERS_P6)).select("day", F.round("estimate").alias("of"))
+    return pairs.join(days, "day").where(F.col("n") * 100 >= F.col("of") * int(SHARE_P6 * 100)).select(_day_text().alias("day"), "host")
 
 
 # 7 ------------------------------------------------------------------------------------------------------------------
@@ -180,4 +189,4 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.join(of, "field").where(F.col("n") >= SHARE_P7 * F.col("of")).select("field", "item")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_features, p3_found, p3_top, p4_found, p4_totals, p5_found, p5_sessions, p6_found, p6_distinct, p7_found, p7_results)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_features, p3_found, p3_top, p4_found, p4_totals, p5_found, p5_sessions, p6_found, p6_distinct, p6_bounds, p7_found, p7_results)}

@@ -97,6 +97,9 @@ SQL = {
     "p6_found": f"""WITH {VALID}, pair AS (SELECT {_DAY} AS day, host_name AS host, count(DISTINCT ip_hex) AS n FROM valid WHERE t <> 0 GROUP BY ALL),
         daily AS (SELECT {_DAY} AS day, count(DISTINCT ip_hex) AS n FROM valid WHERE t <> 0 GROUP BY ALL)
         SELECT p.day, p.host FROM pair p JOIN daily d ON d.day = p.day WHERE p.n * 100 >= d.n * 15""",
+    "p6_bounds": f"""WITH {VALID}, cell AS (SELECT DISTINCT {_DAY} AS day, host_name AS host, ip_hex FROM valid WHERE t <> 0)
+        SELECT CASE WHEN GROUPING(day) = 0 AND GROUPING(host) = 0 THEN 'day_host' WHEN GROUPING(day) = 0 THEN 'day' WHEN GROUPING(host) = 0 THEN 'host'
+        ELSE 'all' END AS level, day, host, count(DISTINCT ip_hex) AS n, TRUE AS inside FROM cell GROUP BY CUBE (day, host)""",
     "p7_found": f"""WITH {_TOP} SELECT field, item FROM counted WHERE field <> 'uri' AND n >= 0.05 * "of" """,
     "p7_results": f"""WITH {_KEYS} SELECT k.field, k.item, count(*) AS n, CAST(sum(coalesce(octet_length(body), 0)) AS BIGINT) AS bytes,
         CAST(sum(CASE WHEN status >= 400 THEN 1 ELSE 0 END) AS BIGINT) AS errors, min(CASE WHEN t <> 0 THEN t END) AS first_time,
