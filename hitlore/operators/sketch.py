@@ -240,10 +240,12 @@ def merge_sketches(partial: DataFrame, by: Sequence[str], m: int = REGISTERS, *,
     at most `width` results of a group are merged. So a group of any number of parts is no task's whole work.
     """
     names = list(by)
+    # Registers cost time, not bytes: a number of partitions that is given is not made fewer for being small.
+    places = int(partial.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = partial.select(*names, "sketch").withColumn("__place", F.pmod(F.xxhash64("sketch"), F.lit(width)).cast("string"))
-    first = spread.repartition(*names, "__place").sortWithinPartitions(*names, "__place")
+    first = spread.repartition(places, *names, "__place").sortWithinPartitions(*names, "__place")
     parts = _merged(first, [*names, "__place"], m, whole=False).drop("__place")
-    second = parts.repartition(*names).sortWithinPartitions(*names) if names else parts.coalesce(1)
+    second = parts.repartition(places, *names).sortWithinPartitions(*names) if names else parts.coalesce(1)
     return _merged(second, names, m, whole=True)
 
 

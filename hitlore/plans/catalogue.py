@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hitlore.plans import drift_queries, log_queries, log_sql, requests_queries, requests_sql
+from hitlore.plans import drift_queries, drift_sql, log_queries, log_sql, requests_queries, requests_sql
 
 FLAGSHIP = "p5_found"
 
@@ -12,4 +12,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**requests_sql.SQL, **log_sql.SQL}
+    return {**drift_sql.SQL, **requests_sql.SQL, **log_sql.SQL}

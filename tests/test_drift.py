@@ -82,13 +82,43 @@ def test_unify_reads_every_form(spark):
     assert (r.status, r.port, r.time, r.ip4, bytes(r.ip), r.host, r.proto, r.headers, bytes(r.tls_fp)) == (404, 77, 1757000009, None, b"\0" * 15 + b"\1", "", 0, [], b"\0" * 16)
 
 
-def test_flooding_settles_and_selects_one_to_one():
-    left = [flooding.Field("agent", frozenset(["string"]), frozenset(["agent"])), flooding.Field("x", frozenset(["string"]), frozenset(["link"]))]
-    score = flooding.flood(left, drift.TARGET)
-    assert score.shape == (2, len(drift.TARGET)) and np.isclose(score.max(), 1)
-    assert drift.TARGET[score[0].argmax()].name == "ua" and drift.TARGET[score[1].argmax()].name == "referer"
-    assert flooding.flood([], drift.TARGET).shape == (0, len(drift.TARGET))
-    assert drift.correspond(tuple(left)) == {"agent": "ua", "x": "referer"}
+def fields(**values):
+    return [drift._field_of(n, drift._json_type(v), dict.fromkeys(drift.properties_of(v if isinstance(v, str) else json.dumps(v)), 1)) for n, v in values.items()]
+
+
+def test_flooding_settles_and_selects_one_to_one(spark):
+    target = drift.target_of(drift.profiles(table(spark, {}).limit(0)))
+    names = [t.name for t in target]
+    left = [fields(agent=UA, x=URL), fields(y=HEADERS)]
+    score = flooding.flood(left, target)
+    assert score.shape == (2, 2, len(target)) and 0 <= score.min() and score.max() <= 1
+    assert flooding.select(score[0], names) == {0: "ua", 1: "referer"} and flooding.select(score[1][:1], names) == {0: "headers"}
+    assert flooding.flood([[]], target).shape == (1, 0, len(target))
+    assert flooding.select(flooding.flood(left, target, propagate=False)[0], names) == {}  # the names alone say nothing here
+
+
+def test_properties_are_those_of_the_jvm(spark):
+    values = {"a": UA, "b": HEADERS, "c": "", "d": "Größe Ä9", "e": 39 * "7", "f": 12.5, "g": {"url": "x", "n": [1]}, "h": [{"k": 1}], "i": True, "j": int(39 * "1")}
+    got: dict = {}
+    for r in drift.profiles(table(spark, {("d", 0): [values]})).collect():
+        got.setdefault(r.name, set()).add(r.property)
+    for name, v in values.items():
+        text = v if isinstance(v, str) else json.dumps(v, separators=(",", ":"))
+        nested = {"kurl", "kn"} if name == "g" else {"kk"} if name == "h" else set()
+        assert got[name] == {*drift.properties_of(text), *nested}, name
+
+
+def test_propagation_decides(spark):
+    files = {("d", 0): file(ua=UA, referer=URL), ("d", 1): file(agent=UA, origin=URL)}
+    assert found(table(spark, files)) == {("d", 1, "ua", "renamed"), ("d", 1, "referer", "renamed")}
+    without = {tuple(r) for r in drift.changes(table(spark, files), propagate=False).collect()}
+    assert without == {("d", 1, n, c) for n, c in (("ua", "removed"), ("referer", "removed"), ("agent", "added"), ("origin", "added"))}
+
+
+def test_files_far_apart_and_extra_columns(spark):
+    files = {("d", 10**9 * i): file(**({"ua": UA} if i % 2 else {"agent": UA})) for i in range(6)}
+    df = table(spark, files).selectExpr("*", "'x' AS name", "1 AS type", "'y' AS keys").repartition(5)
+    assert found(df) == {("d", 10**9 * i, "ua", "renamed") for i in range(1, 6)}
 
 
 @pytest.mark.parametrize("seed", range(3))
