@@ -1,31 +1,42 @@
-"""Documents that contain passages of evaluation items.
-
-A passage is `run` consecutive words of an item, or all of an item with fewer words. Items are small sets of shingles, the
-documents large ones, so containment is searched, not resemblance: items are partitioned by size (the length of their
-passages), and a passage of size w is signed by the minimum hash of its shingles. A document that contains the passage has a
-window of w words with the same shingles and so the same minimum: equal minima over the windows of that size are candidates,
-and none is missed. Candidates are verified by their words, shingle for shingle.
+"""Documents that contain passages of evaluation items, by size-partitioned MinHash containment search.
+
+A passage is `run` consecutive words of an item, or all of an item with fewer words. A document that contains one has a window
+of as many words all of whose shingles are shingles of the item: the containment of the window in the item is 1. Their
+resemblance is only as high as the item is short, q / u for a window of q shingles and an item of at most u. So items are
+partitioned by the size of their shingle sets, with upper bounds that double, and each partition takes as many hash functions
+as that resemblance needs for a window to be missed no more often than `miss`. Each hash function is a band of its own, because
+the resemblance is low.
+
+Where a window lies within an item, the two have the same minimum under a hash function exactly if the window holds the item's
+minimal shingle. So documents are searched for the minimal shingles of items, and no window without one has to be signed.
+Candidates carry the words around the shingle on both sides, which verify the containment shingle for shingle.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hitlore.llm.plain import word_runs, words
+from hitlore.session import cut
 
 RUN, SHINGLE = 12, 5
-#: Items of up to so many bytes of text are sent to every executor; a larger set is joined instead.
-BROADCAST_BYTES = 16_000_000
+#: The chance of a window to be missed.
+MISS = 1e-5
+#: The filter of minimal shingles has this many bits for each of them, and at most this many bytes; a fuller filter lets more
+#: shingles pass to the join, which decides.
+BITS_A_KEY, FILTER_BYTES = 64, 32_000_000
 #: Documents whose words are looked at together.
 AT_ONCE = 256
-_PRIME, _SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_PRIME = np.uint64(0x9E3779B97F4A7C15)
+_MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
 class _Hashes(dict):
@@ -41,160 +52,204 @@ class _Hashes(dict):
 _HASHES = _Hashes()
 
 
-def _window_minimum(values: np.ndarray, need: int) -> np.ndarray:
-    have = 1
-    while have < need:
-        step = min(have, need - have)
-        values = np.minimum(values[: len(values) - step], values[step:])
-        have += step
-    return values
+def hashes_of(flat: list[str]) -> np.ndarray:
+    return np.fromiter(map(_HASHES.__getitem__, flat), np.uint64, len(flat))
 
 
-def minima(hashes: np.ndarray, w: int) -> np.ndarray:
-    """The signature of each window of w words: the minima of two hash functions over its shingles, as one number."""
-    size = min(SHINGLE, w)
-    if len(hashes) < w:
-        return np.empty(0, np.uint64)
+def shingles(hashes: np.ndarray, size: int) -> np.ndarray:
+    """A number for each `size` consecutive words."""
     n = len(hashes) - size + 1
+    if n <= 0:
+        return np.empty(0, np.uint64)
     with np.errstate(over="ignore"):
-        shingles = np.zeros(n, np.uint64)
+        out = np.full(n, np.uint64(size) * _MIX[0])
         for i in range(size):
-            shingles = (shingles ^ hashes[i : i + n]) * _PRIME
-            shingles ^= shingles >> np.uint64(29)
-        other = shingles * _SECOND
-        other ^= other >> np.uint64(32)
-        return _window_minimum(shingles, w - size + 1) * _PRIME ^ _window_minimum(other, w - size + 1)
-
-
-def passages(text: str | None, run: int = RUN) -> tuple[int, list[tuple[str, ...]]]:
-    """The size of an item's passages and the passages."""
-    found = words(text)
-    w = min(run, len(found))
-    return w, [tuple(found[i : i + w]) for i in range(len(found) - w + 1)] if w else []
-
-
-class Index:
-    """Passages of items by size and minimum."""
-
-    def __init__(self, items: list[tuple], run: int = RUN):
-        self.passages: dict[int, dict[tuple[str, ...], set]] = {}
-        for item, text in items:
-            w, found = passages(text, run)
-            for p in found:
-                self.passages.setdefault(w, {}).setdefault(p, set()).add(item)
-        self.keys = {
-            w: np.unique(np.concatenate([minima(np.fromiter(map(_HASHES.__getitem__, p), np.uint64, w), w) for p in found]))
-            for w, found in self.passages.items()
-        }
+            out = (out ^ hashes[i : i + n]) * _PRIME
+            out ^= out >> np.uint64(29)
+    return out
 
-    def search(self, ids: list, texts: list) -> Iterator[tuple]:
-        """(document, item) for each item of which a document contains a passage."""
-        flat, owner, ends = [], [], []
-        for at, text in enumerate(texts):
-            for run in word_runs(text):
-                flat += run
-                owner.append(at)
-                ends.append(len(flat))
-        if not flat:
-            return
-        hashes = np.fromiter(map(_HASHES.__getitem__, flat), np.uint64, len(flat))
-        ends_, found = np.array(ends), set()
-        for w, keys in self.keys.items():
-            signed = minima(hashes, w)
-            at = np.minimum(np.searchsorted(keys, signed), len(keys) - 1)
-            candidates = np.flatnonzero(keys[at] == signed)
-            run = np.searchsorted(ends_, candidates, side="right")
-            inside = candidates + w <= ends_[run]
-            for i, r in zip(candidates[inside].tolist(), run[inside].tolist(), strict=True):
-                for item in self.passages[w].get(tuple(flat[i : i + w]), ()):
-                    found.add((owner[r], item))
-        for at, item in sorted(found):
-            yield ids[at], item
-
-
-_INDEXES: dict[int, Index] = {}
-
-
-def _by_broadcast(documents: DataFrame, items: list[tuple], run: int) -> DataFrame:
-    shared = documents.sparkSession.sparkContext.broadcast(items)
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        if id(own) not in _INDEXES:
-            _INDEXES.clear()
-            _INDEXES[id(own)] = Index(own, run)
-        index = _INDEXES[id(own)]
-        for batch in batches:
-            for at in range(0, batch.num_rows, AT_ONCE):
-                part = batch.slice(at, AT_ONCE)
-                pairs = list(index.search(part.column(0).to_pylist(), part.column(1).to_pylist()))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["doc_id", "item_id"]
-                )
+def _hashed(values: np.ndarray, function: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        z = values + np.uint64(function + 1) * _PRIME
+        z = (z ^ (z >> np.uint64(30))) * _MIX[0]
+        z = (z ^ (z >> np.uint64(27))) * _MIX[1]
+        return z ^ (z >> np.uint64(31))
 
-    return documents.select("doc_id", "text").where(F.col("text").isNotNull()).mapInArrow(search, "doc_id long, item_id long")
 
+@dataclass(frozen=True)
+class Partition:
+    """Items with passages of `words` words whose sets have at most `bound` shingles; a window has at least `window` distinct ones."""
 
-def _by_join(documents: DataFrame, items: DataFrame, run: int) -> DataFrame:
-    """The same for any number of items: equal minima are joined, then the texts of the candidates are compared."""
+    words: int
+    window: int
+    bound: int
 
-    def signed(of: str, sizes: list[int] | None):
-        """Distinct signatures of each text. Windows over the end of a run of words sign nothing that verification keeps."""
+    @property
+    def resemblance(self) -> float:
+        return self.window / self.bound
 
-        def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for at in range(0, batch.num_rows, AT_ONCE):
-                    ids, widths, keys = [], [], []
-                    for key, text in zip(batch.column(0).slice(at, AT_ONCE).to_pylist(), batch.column(1).slice(at, AT_ONCE).to_pylist(), strict=True):
-                        flat = [w for r in (word_runs(text) if sizes else [words(text)]) for w in r]
-                        hashes = np.fromiter(map(_HASHES.__getitem__, flat), np.uint64, len(flat))
-                        for w in sizes or [min(run, len(flat))]:
-                            own = np.unique(minima(hashes, w)).view(np.int64) if w else np.empty(0, np.int64)
-                            keys.append(own)
-                            ids.append(np.full(len(own), key, np.int64))
-                            widths.append(np.full(len(own), w, np.int32))
-                    columns = [pa.array(np.concatenate(x)) for x in (ids, widths, keys)]
-                    yield pa.RecordBatch.from_arrays(columns, names=[of, "w", "minimum"])
+    def functions(self, miss: float = MISS) -> int:
+        """Hash functions for a window of that resemblance to have a minimum in common but for a chance of `miss`."""
+        return 1 if self.resemblance >= 1 else math.ceil(math.log(miss) / math.log1p(-self.resemblance))
 
-        return sign
 
-    own = items.select("item_id", "text").where(F.col("text").isNotNull())
-    item_keys = own.mapInArrow(signed("item_id", None), "item_id long, w int, minimum long")
-    # At most `run` sizes.
-    sizes = sorted(r.w for r in item_keys.select("w").distinct().collect())
-    docs = documents.select("doc_id", "text").where(F.col("text").isNotNull())
-    if not sizes:
-        return docs.limit(0).select("doc_id", F.col("doc_id").alias("item_id"))
-    doc_keys = docs.mapInArrow(signed("doc_id", sizes), "doc_id long, w int, minimum long")
-    candidates = doc_keys.join(item_keys, ["w", "minimum"]).select("doc_id", "item_id").distinct()
-
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def partition_of(numbers: np.ndarray, passage: int) -> Partition:
+    """The partition of an item by its shingles in their order. A window of a passage with repetitions has fewer distinct ones."""
+    q = passage - min(SHINGLE, passage) + 1
+    least = min(len(np.unique(numbers[i : i + q])) for i in range(len(numbers) - q + 1))
+    size, bound = len(np.unique(numbers)), least
+    while bound < size:
+        bound *= 2
+    return Partition(passage, least, bound)
+
+
+def signature(numbers: np.ndarray, functions: int) -> np.ndarray:
+    """The minimal shingles of a set, one of each hash function, without repetitions."""
+    distinct = np.unique(numbers)
+    return np.unique([distinct[_hashed(distinct, f).argmin()] for f in range(functions)])
+
+
+def _context(flat: list[str], at: int, size: int, first: int, beyond: int, run: int) -> tuple[str, str, str]:
+    """The words before a shingle, of it and after it, as far as a passage can reach."""
+    reach = run - size
+    return " ".join(flat[max(first, at - reach) : at]), " ".join(flat[at : at + size]), " ".join(flat[at + size : min(beyond, at + size + reach)])
+
+
+_SIDES = ("before string", "shingle string", "after string")
+_SIDE_NAMES = ("before", "shingle", "after")
+
+
+def item_signatures(items: DataFrame, *, run: int = RUN, miss: float = MISS) -> DataFrame:
+    """key, size, item_id, words, before, shingle, after: the minimal shingles of each item at each place where they stand in it."""
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = [
-                any(True for _ in Index([(i, t)], run).search([d], [x]))
-                for d, x, i, t in zip(batch["doc_id"], batch["text"], batch["item_id"], batch["item_text"], strict=True)
-            ]
-            yield batch.loc[kept, ["doc_id", "item_id"]]
+            rows: list[tuple] = []
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                flat = words(text)
+                passage = min(run, len(flat))
+                if not passage:
+                    continue
+                size = min(SHINGLE, passage)
+                numbers = shingles(hashes_of(flat), size)
+                chosen = signature(numbers, partition_of(numbers, passage).functions(miss))
+                for at in np.flatnonzero(np.isin(numbers, chosen)).tolist():
+                    rows.append((int(numbers[at].view(np.int64)), size, item, passage, *_context(flat, at, size, 0, len(flat), run)))
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), *([pa.string()] * 3))
+            columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "size", "item_id", "words", *_SIDE_NAMES])
 
-    texts = candidates.join(docs, "doc_id").join(own.select("item_id", F.col("text").alias("item_text")), "item_id")
-    return texts.select("doc_id", "text", "item_id", "item_text").mapInPandas(verify, "doc_id long, item_id long")
+    own = items.select("item_id", "text").where(F.col("text").isNotNull())
+    return own.mapInArrow(sign, ", ".join(["key long, size int, item_id long, words int", *_SIDES]))
+
+
+class Filter:
+    """Which keys may be among those of the items: two bits of a table for each. A key that is among them always passes."""
+
+    def __init__(self, bits: int):
+        self.bits = bits
+        self.table = np.zeros(max(bits // 64, 1), np.uint64)
+
+    @classmethod
+    def of(cls, keys: DataFrame, count: int, most_bytes: int = FILTER_BYTES) -> Filter:
+        """The words of the table are put together by the executors; there are at most most_bytes / 8 of them."""
+        bits = 1 << min(max(10, math.ceil(math.log2(max(count, 1) * BITS_A_KEY))), int(math.log2(most_bytes * 8)))
+        out = cls(bits)
+        places = F.array(*(F.shiftrightunsigned("key", s).bitwiseAND(F.lit(bits - 1)) for s in (0, 33)))
+        placed = keys.select("key").distinct().select(F.explode(places).alias("place"))
+        one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("place").bitwiseAND(63).cast("int"))
+        table = placed.select(F.shiftrightunsigned("place", 6).alias("at"), one.alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("word")).toArrow()
+        out.table[table.column("at").to_numpy()] = table.column("word").to_numpy().view(np.uint64)
+        return out
+
+    def may_have(self, keys: np.ndarray) -> np.ndarray:
+        hit = np.ones(len(keys), bool)
+        for shift in (0, 33):
+            place = (keys >> np.uint64(shift)) & np.uint64(self.bits - 1)
+            hit &= (self.table[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+        return hit
+
+
+def _found_shingles(ids: list, texts: list, sizes: list[int], known: Filter, run: int) -> Iterator[tuple]:
+    """(key, document, before, shingle, after) for each shingle of the documents that passes the filter."""
+    flat, owner, ends = [], [], []
+    for at, text in enumerate(texts):
+        for words_ in word_runs(text):
+            flat += words_
+            owner.append(at)
+            ends.append(len(flat))
+    if not flat:
+        return
+    hashes, limits = hashes_of(flat), np.array(ends)
+    for size in sizes:
+        numbers = shingles(hashes, size)
+        at = np.flatnonzero(known.may_have(numbers))
+        of = np.searchsorted(limits, at, side="right")
+        inside = at + size <= limits[of]
+        for p, r in zip(at[inside].tolist(), of[inside].tolist(), strict=True):
+            yield int(numbers[p].view(np.int64)), ids[owner[r]], *_context(flat, p, size, ends[r - 1] if r else 0, ends[r], run)
+
+
+def document_shingles(documents: DataFrame, sizes: list[int], known: Filter, *, run: int = RUN) -> DataFrame:
+    """key, doc_id, before, shingle, after of the shingles of all documents that may be minimal shingles of items."""
+    shared = documents.sparkSession.sparkContext.broadcast(known)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(at, AT_ONCE)
+                rows = list(_found_shingles(part.column(0).to_pylist(), part.column(1).to_pylist(), sizes, shared.value, run))
+                columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), *([pa.string()] * 3)))]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "doc_id", *_SIDE_NAMES])
+
+    own = documents.select("doc_id", "text").where(F.col("text").isNotNull())
+    return own.mapInArrow(search, ", ".join(["key long, doc_id long", *_SIDES]))
+
+
+def _contained(passage: int, own: tuple[str, str, str], other: tuple[str, str, str]) -> bool:
+    """Whether the words around an equal shingle agree over a whole passage."""
+    if own[1] != other[1]:
+        return False
+    n = len(own[1].split(" "))
+    for a, b in ((own[0].split()[::-1], other[0].split()[::-1]), (own[2].split(), other[2].split())):
+        for x, y in zip(a, b, strict=False):
+            if x != y:
+                break
+            n += 1
+    return n >= passage
+
+
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        column = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}
+        sides = [zip(*(column[f"{s}_{n}"] for n in _SIDE_NAMES), strict=True) for s in ("d", "i")]
+        found = {
+            (d, i) for d, i, w, a, b in zip(column["doc_id"], column["item_id"], column["words"], *sides, strict=True) if _contained(w, a, b)
+        }
+        pairs = list(found)
+        yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["doc_id", "item_id"])
 
 
-def leaks(documents: DataFrame, items: DataFrame, *, run: int = RUN, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, *, run: int = RUN, miss: float = MISS, filter_bytes: int = FILTER_BYTES) -> DataFrame:
     """doc_id, item_id: each document once with each item of which it contains a passage.
 
     documents has doc_id and text, items has item_id and text. Whole texts are searched, and what stands inside templates,
     references and comments is searched by itself.
 
+    The signatures of the items are written once. A filter of their keys, of at most filter_bytes, goes to the executors; what
+    passes it in the documents, a shingle with the words around it, is joined to the signatures by key and verified. This is the
+    way for any number of items; a shingle that stands in very many documents is split by the join's skew handling.
+
     Defined cases: empty, blank and NULL texts contain nothing and items without words are contained nowhere; items that
     share a passage are each reported; repeated documents or items give a pair once; further columns are ignored; empty
     tables give no rows.
     """
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0)).alias("b")).first().b
-    if size <= broadcast_bytes:
-        # Proven small just now.
-        own = [(r.item_id, r.text) for r in items.select("item_id", "text").where(F.col("text").isNotNull()).collect()]
-        pairs = _by_broadcast(documents, own, run)
-    else:
-        pairs = _by_join(documents, items, run)
-    return pairs.distinct()
+    signatures = cut(item_signatures(items, run=run, miss=miss))
+    # At most SHINGLE sizes.
+    counts = {r["size"]: r.n for r in signatures.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}
+    known = Filter.of(signatures, sum(counts.values()), filter_bytes)
+    hits = document_shingles(documents, sorted(counts), known, run=run)
+    own = hits.select("key", "doc_id", *(F.col(n).alias(f"d_{n}") for n in _SIDE_NAMES))
+    candidates = own.join(signatures.select("key", "item_id", "words", *(F.col(n).alias(f"i_{n}") for n in _SIDE_NAMES)), "key").drop("key")
+    return candidates.mapInArrow(_verify, "doc_id long, item_id long").distinct()
