@@ -99,6 +99,20 @@ def _example_counts() -> dict[tuple[str, str], dict[str, int]]:
     return out
 
 
+def _flags(form: Column, marks: Mapping[str, str]) -> Column:
+    return F.concat(*(F.when(form.contains(m), F.lit(c)).otherwise("") for m, c in marks.items()))
+
+
+def _marks_of(form: Column) -> Column:
+    """The signature of a value: what follows a sign is only looked for where the sign stands."""
+    out = []
+    for sign in SIGNS:
+        after = {m: _MARKS[m] for m in FOLLOWED if m[0] == sign}
+        own = F.concat(F.lit(_MARKS[sign]), _flags(form, after)) if after else F.lit(_MARKS[sign])
+        out.append(F.when(form.contains(sign), own).otherwise(""))
+    return F.concat(*out)
+
+
 def profiles(rows: DataFrame) -> DataFrame:
     """log_dir, block_start, name, type, property, n: for each file, field and JSON type the properties of the values and how many have
     them. A file without a present field has one row without name. Rows of a file lie together; they are written once.
@@ -125,10 +139,9 @@ def profiles(rows: DataFrame) -> DataFrame:
     )
     valued = typed.withColumns({"type": kind, "text": text}).withColumn("name", F.when(F.col("type").isNotNull(), F.col("name")))
     shaped = valued.withColumn("form", F.translate("text", _CAPITALS + _LETTERS + _DIGITS, "A" * 26 + "a" * 26 + "9" * 10))
-    flags = lambda marks: F.concat(*(F.when(F.col("form").contains(m), F.lit(c)).otherwise("") for m, c in marks))
     signed = shaped.select(
-        "log_dir", "block_start", "name", "type", F.array_join(F.array_sort(inner), "\x00").alias("inner"), flags(_MARKS.items()).alias("marks"),
-        flags((k, k) for k in "9Aa").alias("kinds"), F.substring("form", 1, 1).alias("begins"), F.substring("form", -1, 1).alias("ends"),
+        "log_dir", "block_start", "name", "type", F.array_join(F.array_sort(inner), "\x00").alias("inner"), _marks_of(F.col("form")).alias("marks"),
+        _flags(F.col("form"), {k: k for k in "9Aa"}).alias("kinds"), F.substring("form", 1, 1).alias("begins"), F.substring("form", -1, 1).alias("ends"),
         F.round(3 * F.log2(F.greatest(F.length("text"), F.lit(1)))).cast("int").alias("step"),
         F.when(F.length("text") <= SHORT, F.col("text")).otherwise("").alias("short"),
     )
@@ -263,7 +276,8 @@ def changes(rows: DataFrame, *, span: int = 10_000_000, propagate: bool = True)
     without log_dir or block_start are left out; further columns are ignored.
     """
     side = F.struct("keys", "names", "types", "others")
-    files = matched(profiles(rows), propagate=propagate).select("log_dir", "block_start", side.alias("own")).withColumn("part", F.floor(F.col("block_start") / span))
+    # One row per file, read twice.
+    files = cut(matched(profiles(rows), propagate=propagate).select("log_dir", "block_start", side.alias("own"))).withColumn("part", F.floor(F.col("block_start") / span))
     within = Window.partitionBy("log_dir", "part").orderBy("block_start")
     last = files.groupBy("log_dir", "part").agg(F.max_by("own", "block_start").alias("own"))
     carried = last.select("log_dir", "part", F.lag("own").over(Window.partitionBy("log_dir").orderBy("part")).alias("carried"))

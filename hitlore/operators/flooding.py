@@ -156,15 +156,14 @@ def flood(left: Sequence[Sequence[Field]], right: Sequence[Field], *, propagate:
 def select(score: np.ndarray, names: Sequence[str], least: float = LEAST) -> dict[int, str]:
     """One-to-one correspondences of the rows of a score to names: the best remaining pair, down to `least`. A name may stand
     several times, for the forms a field has; its best form counts."""
-    places: dict[str, list[int]] = {}
-    for j, name in enumerate(names):
-        places.setdefault(name, []).append(j)
-    best = [(-score[i, own].max(), i, name) for i in range(len(score)) for name, own in places.items()]
+    distinct = sorted(set(names))
+    order = np.argsort([distinct.index(n) for n in names], kind="stable")
+    starts = np.searchsorted(np.array([distinct.index(names[j]) for j in order]), np.arange(len(distinct)))
+    best = np.maximum.reduceat(score[:, order], starts, axis=1) if score.size else np.zeros((len(score), 0))
+    pairs = [(-best[i, j], i, distinct[j]) for i, j in zip(*np.nonzero(best >= least), strict=True)]
     taken: dict[int, str] = {}
     used: set[str] = set()
-    for negative, i, name in sorted(best):
-        if -negative < least:
-            break
+    for _, i, name in sorted(pairs):
         if i not in taken and name not in used:
             taken[i] = name
             used.add(name)
