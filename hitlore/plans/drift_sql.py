@@ -67,7 +67,7 @@ text AS (
   SELECT *, {_raw("ip")} AS ip_text, {_raw("tls_fp")} AS tls, {_raw("headers")} AS h, {_raw("ua")} AS agent, {_raw("referer")} AS link, {_raw("location")} AS place,
     {_raw("body")} AS content, {_raw("proto")} AS p FROM rec),
 wide AS (
-  SELECT *, lpad(to_hex(CASE WHEN regexp_full_match(tls, '[0-9]+') THEN CAST(tls AS UHUGEINT) END), 32, '0') AS wide FROM text)
+  SELECT *, lpad(lower(to_hex(CASE WHEN regexp_full_match(tls, '[0-9]+') THEN CAST(tls AS UHUGEINT) END)), 32, '0') AS wide FROM text)
 """
 
 SQL = {
