@@ -19,22 +19,24 @@ _BREAKING = frozenset(["br", "p", "div", "li", "ul", "ol", "td", "th", "tr", "ta
 WORD = re.compile(r"[^\W_]+")
 
 
-def _class_of(*categories: str) -> str:
-    """The characters of some Unicode categories as ranges of a regular expression."""
-    points = [i for i in range(0x110000) if unicodedata.category(chr(i)) in categories]
-    first = [p for i, p in enumerate(points) if not i or points[i - 1] != p - 1]
-    last = [p for i, p in enumerate(points) if i + 1 == len(points) or points[i + 1] != p + 1]
-    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(first, last, strict=True))
+class _Shown(dict):
+    """Runs of characters beyond ASCII without combining marks and format characters, remembered up to a number of runs."""
 
+    def __missing__(self, run: str) -> str:
+        if len(self) > 100_000:
+            self.clear()
+        value = self[run] = "".join(c for c in run if unicodedata.category(c) not in ("Mn", "Me", "Cf"))
+        return value
 
-#: Combining marks and format characters.
-_UNSEEN = re.compile(f"[{_class_of('Mn', 'Me', 'Cf')}]+")
+
+_SHOWN = _Shown()
+_BEYOND_ASCII = re.compile(r"[^\x00-\x7f]+")
 
 
 def _invisible(text: str) -> str:
     """Without combining marks and format characters, after compatibility decomposition and case folding."""
     folded = unicodedata.normalize("NFKD", text).casefold()
-    return _UNSEEN.sub("", unicodedata.normalize("NFKD", folded))
+    return _BEYOND_ASCII.sub(lambda m: _SHOWN[m[0]], unicodedata.normalize("NFKD", folded))
 
 
 def fold(text: str) -> str:
