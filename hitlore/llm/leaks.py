@@ -9,7 +9,8 @@ the resemblance is low.
 
 Where a window lies within an item, the two have the same minimum under a hash function exactly if the window holds the item's
 minimal shingle. So documents are searched for the minimal shingles of items, and no window without one has to be signed.
-Candidates carry the words around the shingle on both sides, which verify the containment shingle for shingle.
+A candidate is kept if it stands in a window all of whose shingles are shingles of items, and carries the words around it on
+both sides, which verify the containment in one item shingle for shingle.
 """
 
 from __future__ import annotations
@@ -69,6 +70,11 @@ def shingles(hashes: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+def keys_of(numbers: np.ndarray, passage: int) -> np.ndarray:
+    """Keys of shingles: items of another passage size have other keys for the same shingle."""
+    return _hashed(numbers, passage << 20)
+
+
 def _hashed(values: np.ndarray, function: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         z = values + np.uint64(function + 1) * _PRIME
@@ -121,7 +127,8 @@ _SIDE_NAMES = ("before", "shingle", "after")
 
 
 def item_signatures(items: DataFrame, *, run: int = RUN, miss: float = MISS) -> DataFrame:
-    """key, size, item_id, words, before, shingle, after: the minimal shingles of each item at each place where they stand in it."""
+    """key, minimal, item_id, words, before, shingle, after: the shingles of each item at each place where they stand in it. Minimal ones
+    have the words around them."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,15 +140,17 @@ def item_signatures(items: DataFrame, *, run: int = RUN, miss: float = MISS) ->
                     continue
                 size = min(SHINGLE, passage)
                 numbers = shingles(hashes_of(flat), size)
-                chosen = signature(numbers, partition_of(numbers, passage).functions(miss))
-                for at in np.flatnonzero(np.isin(numbers, chosen)).tolist():
-                    rows.append((int(numbers[at].view(np.int64)), size, item, passage, *_context(flat, at, size, 0, len(flat), run)))
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), *([pa.string()] * 3))
+                keys = keys_of(numbers, passage).view(np.int64)
+                minimal = np.isin(numbers, signature(numbers, partition_of(numbers, passage).functions(miss)))
+                for at, (key, chosen) in enumerate(zip(keys.tolist(), minimal.tolist(), strict=True)):
+                    around = _context(flat, at, size, 0, len(flat), run) if chosen else (None, None, None)
+                    rows.append((key, chosen, item, passage, *around))
+            kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int32(), *([pa.string()] * 3))
             columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "size", "item_id", "words", *_SIDE_NAMES])
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "minimal", "item_id", "words", *_SIDE_NAMES])
 
     own = items.select("item_id", "text").where(F.col("text").isNotNull())
-    return own.mapInArrow(sign, ", ".join(["key long, size int, item_id long, words int", *_SIDES]))
+    return own.mapInArrow(sign, ", ".join(["key long, minimal boolean, item_id long, words int", *_SIDES]))
 
 
 class Filter:
@@ -171,8 +180,8 @@ class Filter:
         return hit
 
 
-def _found_shingles(ids: list, texts: list, sizes: list[int], known: Filter, run: int) -> Iterator[tuple]:
-    """(key, document, before, shingle, after) for each shingle of the documents that passes the filter."""
+def _found_shingles(ids: list, texts: list, passages: list[int], every: Filter, minimal: Filter, run: int) -> Iterator[tuple]:
+    """(key, document, before, shingle, after) for each shingle of the documents that may be a minimal one in a window of shingles of items."""
     flat, owner, ends = [], [], []
     for at, text in enumerate(texts):
         for words_ in word_runs(text):
@@ -182,24 +191,35 @@ def _found_shingles(ids: list, texts: list, sizes: list[int], known: Filter, run
     if not flat:
         return
     hashes, limits = hashes_of(flat), np.array(ends)
-    for size in sizes:
-        numbers = shingles(hashes, size)
-        at = np.flatnonzero(known.may_have(numbers))
+    begins = np.concatenate([[0], limits[:-1]])
+    by_size: dict[int, np.ndarray] = {}
+    for passage in passages:
+        size = min(SHINGLE, passage)
+        if size not in by_size:
+            by_size[size] = shingles(hashes, size)
+        keys = keys_of(by_size[size], passage)
+        at = np.flatnonzero(minimal.may_have(keys))
         of = np.searchsorted(limits, at, side="right")
-        inside = at + size <= limits[of]
-        for p, r in zip(at[inside].tolist(), of[inside].tolist(), strict=True):
-            yield int(numbers[p].view(np.int64)), ids[owner[r]], *_context(flat, p, size, ends[r - 1] if r else 0, ends[r], run)
+        # The shingles before and after one that a window with it can hold, as far as its run of words goes.
+        q = passage - size + 1
+        around = at[:, None] + np.arange(1 - q, q)[None, :]
+        inside = (around >= begins[of][:, None]) & (around + size <= limits[of][:, None])
+        held = np.zeros(around.shape, bool)
+        held[inside] = every.may_have(keys[around[inside]])
+        whole = np.lib.stride_tricks.sliding_window_view(held, q, axis=1).all(axis=2).any(axis=1) if len(at) else np.zeros(0, bool)
+        for p, r in zip(at[whole].tolist(), of[whole].tolist(), strict=True):
+            yield int(keys[p].view(np.int64)), ids[owner[r]], *_context(flat, p, size, int(begins[r]), ends[r], run)
 
 
-def document_shingles(documents: DataFrame, sizes: list[int], known: Filter, *, run: int = RUN) -> DataFrame:
-    """key, doc_id, before, shingle, after of the shingles of all documents that may be minimal shingles of items."""
-    shared = documents.sparkSession.sparkContext.broadcast(known)
+def document_shingles(documents: DataFrame, passages: list[int], every: Filter, minimal: Filter, *, run: int = RUN) -> DataFrame:
+    """key, doc_id, before, shingle, after of the shingles of all documents that may be minimal shingles of items in a passage."""
+    shared = documents.sparkSession.sparkContext.broadcast((every, minimal))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, AT_ONCE):
                 part = batch.slice(at, AT_ONCE)
-                rows = list(_found_shingles(part.column(0).to_pylist(), part.column(1).to_pylist(), sizes, shared.value, run))
+                rows = list(_found_shingles(part.column(0).to_pylist(), part.column(1).to_pylist(), passages, *shared.value, run))
                 columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), *([pa.string()] * 3)))]
                 yield pa.RecordBatch.from_arrays(columns, names=["key", "doc_id", *_SIDE_NAMES])
 
@@ -237,8 +257,8 @@ def leaks(documents: DataFrame, items: DataFrame, *, run: int = RUN, miss: float
     documents has doc_id and text, items has item_id and text. Whole texts are searched, and what stands inside templates,
     references and comments is searched by itself.
 
-    The signatures of the items are written once. A filter of their keys, of at most filter_bytes, goes to the executors; what
-    passes it in the documents, a shingle with the words around it, is joined to the signatures by key and verified. This is the
+    The shingles of the items are written once. Filters of their keys, of at most filter_bytes each, go to the executors; what
+    passes them in the documents, a shingle with the words around it, is joined to the signatures by key and verified. This is the
     way for any number of items; a shingle that stands in very many documents is split by the join's skew handling.
 
     Defined cases: empty, blank and NULL texts contain nothing and items without words are contained nowhere; items that
@@ -246,10 +266,11 @@ def leaks(documents: DataFrame, items: DataFrame, *, run: int = RUN, miss: float
     tables give no rows.
     """
     signatures = cut(item_signatures(items, run=run, miss=miss))
-    # At most SHINGLE sizes.
-    counts = {r["size"]: r.n for r in signatures.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}
-    known = Filter.of(signatures, sum(counts.values()), filter_bytes)
-    hits = document_shingles(documents, sorted(counts), known, run=run)
+    minimal = signatures.where("minimal")
+    # At most `run` sizes.
+    counts = {r["words"]: (r.n, r.m) for r in signatures.groupBy("words").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("minimal"), 1)).alias("m")).collect()}
+    filters = [Filter.of(keys, sum(c[i] for c in counts.values()), filter_bytes) for i, keys in enumerate((signatures, minimal))]
+    hits = document_shingles(documents, sorted(counts), *filters, run=run)
     own = hits.select("key", "doc_id", *(F.col(n).alias(f"d_{n}") for n in _SIDE_NAMES))
-    candidates = own.join(signatures.select("key", "item_id", "words", *(F.col(n).alias(f"i_{n}") for n in _SIDE_NAMES)), "key").drop("key")
+    candidates = own.join(minimal.select("key", "item_id", "words", *(F.col(n).alias(f"i_{n}") for n in _SIDE_NAMES)), "key").drop("key")
     return candidates.mapInArrow(_verify, "doc_id long, item_id long").distinct()
