@@ -3,30 +3,34 @@
 A document is as severe as its most severe passage. A passage is a window of words; its features are its words, its pairs of
 neighbouring words and pairs with one word between, after disguises are taken off: other scripts' letters, digits for
 letters, stretched letters, letters set apart, signs and invisible characters inside words, stars for letters. One weight per
-feature is shared by the ordered thresholds: P(grade >= k) = logistic(score - threshold_k). The expected severity is the sum
-of these probabilities.
+feature is shared by the ordered thresholds: P(grade >= k) = logistic(score - threshold_k), and the weights maximise the
+likelihood of the grades, P(grade = k) = P(grade >= k) - P(grade >= k + 1). The expected severity is the sum of P(grade >= k).
 
 The regression is fitted on rated documents: grade 0 if no rater found harm, 2 if all did, 1 if they disagree. Ratings are of
 whole documents, so fitting alternates between choosing the window of each document and fitting the weights to the windows.
+No list of words is given: which words a star can stand for, and which words count as marked in pairs, is read from the ratings.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 import unicodedata
 import zlib
-from collections import Counter
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
-from functools import lru_cache
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hitlore.session import cut
+
 #: At most so many rated documents, of at most so many characters, are used for fitting; scoring has no bounds.
-MOST_RATED, MOST_CHARS = 5_000, 100_000
+MOST_RATED, MOST_CHARS = 10_000, 100_000
 WINDOWS = (4, 6, 9, 12)
 GRADES = 3
 #: What stands between runs of words.
@@ -34,12 +38,14 @@ GAP = -1
 ROUNDS, STEPS = 4, 150
 #: A document of grade 0 is left out above the second severity, another one below the first.
 TRUSTED = (0.5, 1.5)
-#: Scale and thresholds that calibration starts from.
-USUAL = (0.5, (3.0, 3.5))
-#: Words of a piece of a document without harm; documents that the odds of a word are drawn to even by; prior weight of seeds.
-PIECE, CAUTION, SEED_PRIOR = 40, 12, 1.5
-#: Windows a feature without prior must stand in; how much more than single words pairs are drawn to zero.
-SUPPORT, PAIR_PENALTY = 4, 4
+#: Scale, first threshold and distance to the second that calibration starts from.
+USUAL = (0.5, 3.0, 0.5)
+#: Words of a piece of a document without harm; documents that the odds of a word are drawn to even by.
+PIECE, CAUTION = 40, 12
+#: A word is marked if it stands in so many documents of the highest grade and its odds of harm are so many times those of any word.
+MARKED_DOCS, MARKED_ODDS = 3, 1.2
+#: Penalties of the weights, of which the one is taken that suits held-out ratings; windows a feature must stand in; how much more than single words pairs are drawn to zero.
+PENALTIES, SUPPORT, PAIR_PENALTY = (0.5,), 2, 4
 AT_ONCE = 256
 #: Chunks of text a worker remembers.
 CHUNKS_KEPT = 300_000
@@ -56,21 +62,6 @@ _ENDS = _EDGES.replace("*", "")
 #: Letters of other scripts that look like Latin ones, and digits and signs that stand for letters.
 LOOKALIKE = str.maketrans("аеорсхуіјѕһԁԛԝкмтнвгαορνικτυηɡıаε", "aeopcxyijshdqwkmthbraopviktungiae")
 LEET = str.maketrans("0134578@$", "oieastbas")
-#: Words that demean, threaten or are sexual in English, German, French and Spanish. They give the fit a start
-#: where few documents are rated, and a common feature for words no rated document holds.
-SEEDS = frozenset("""
-asshole arsehole ass bastard bitch bitches bollocks bugger cock cretin cunt dick dickhead dimwit dipshit douchebag dumbass dumb
-dyke fag faggot fuck fucker fucking halfwit horny idiot imbecile jackass jerk jerking kike loser maggot moron motherfucker nigger
-paki parasite pathetic piss porn prick pussy retard retarded scum scumbag shit shithead slut spastic spic stupid subhuman tits
-tranny trash garbage twat vermin wanker whore worthless kill hurt gas exterminate filth disgusting naked
-arsch arschloch depp drecksau fick ficken fickte fotze geil hackfresse hure hurensohn idiotin kanake missgeburt neger nutte
-penner pisser sau drecksack schwein fresse dumme saukerl scheisse scheiss schlampe schwachkopf schwanz schwuchtel trottel ungeziefer untermensch volltrottel
-vollidiot wichser abschaum verrecke verreck sterben
-baise baiser batard bite bouffon branleur chatte con connard connasse conne couille couilles debile encule enculer foutre
-gueule imbecile merde merdeux abruti minable dechet raclure negre niquer nique ordure pede petasse putain pute salaud salope tapette vermine sale crever
-baboso basura inutil asqueroso boludo cabron capullo cerda chingar cono culo follar folla gilipollas hijoputa idiota imbecil joder lameculos maricon
-matar mierda pendejo perra polla puta puto ramera rata ratas sudaca tonto verga zorra exterminar escoria asco
-""".split())
 
 
 def canonical(raw: str) -> str:
@@ -92,20 +83,16 @@ def canonical(raw: str) -> str:
     return text
 
 
-_SEEDS = frozenset(canonical(s) for s in SEEDS)
-
-
 def _together(apart: re.Match) -> str:
     word = apart[0].replace(" ", "")
-    if len(word) > 3:
-        return f"{word} {word[1:]}"
-    return word if canonical(word) in _SEEDS else apart[0]
+    return f"{word} {word[1:]}" if len(word) > 3 else f"{apart[0]} {word}"
 
 
 def chunks(text: str | None) -> list[str]:
     """What stands between white space; letters set apart come as one chunk, and once more without the first.
 
-    The first letter may be a word of its own ("a p a t h e t i c ..."). Three letters are one chunk only if they are a seed word.
+    The first letter may be a word of its own ("a p a t h e t i c ..."). Three letters may be initials: they stay, and come
+    as one chunk after that.
     """
     if not text:
         return []
@@ -119,37 +106,60 @@ def tokens(text: str | None) -> list[str]:
     return [t for c in chunks(text) for t in TOKEN.findall(c)]
 
 
+def hash_of(word: str) -> int:
+    """A positive number for a canonical word."""
+    return xxhash.xxh64_intdigest(word) >> 1 or 1
+
+
+@dataclass
+class Stars:
+    """Words that words with stars can stand for."""
+
+    words: list[str] = field(default_factory=list)
+    _known: dict[str, str] = field(default_factory=dict, repr=False)
+
+    def resolve(self, word: str) -> str:
+        """The word that a word with stars stands for, if there is one: a star is one letter or more, at the end just one."""
+        known = self._known.get(word)
+        if known is None:
+            pattern = re.compile("".join("[a-z]+" if part.startswith("*") else re.escape(part) for part in re.findall(r"\*+|[^*]+", word)))
+            # At the end a star may be a sign of its own (A*): there the length must be right.
+            apart = 0 if word.endswith("*") else 1
+            fits = [w for w in self.words if abs(len(w) - len(word)) <= apart and pattern.fullmatch(w)]
+            known = min(fits, key=lambda w: (abs(len(w) - len(word)), w)) if fits else word.replace("*", "")
+            if len(self._known) > CHUNKS_KEPT:
+                self._known.clear()
+            self._known[word] = known
+        return known
+
+    def read(self, token: str) -> str:
+        word = canonical(token)
+        return self.resolve(word) if "*" in word else word
+
+
 @dataclass
 class Vocabulary:
-    """Numbers of canonical tokens, 0 for all others; 1 stands for any seed word in pairs."""
+    """Numbers of the hashes of canonical words, from 2 on; 0 for all others. 1 stands for any marked word in pairs."""
 
-    ids: dict[str, int]
-    starred: list[str] = field(default_factory=list)
+    ids: dict[int, int]
+    stars: Stars = field(default_factory=Stars)
     _raw: dict[str, tuple[int, ...]] = field(default_factory=dict, repr=False)
 
-    def __getstate__(self):
-        return {"ids": self.ids, "starred": self.starred, "_raw": {}}
+    @classmethod
+    def of_words(cls, words: Mapping[str, int], starred: Sequence[str] = ()) -> Vocabulary:
+        return cls({hash_of(w): i for w, i in words.items()}, Stars(list(starred)))
 
-    def number(self, token: str) -> int:
-        word = canonical(token)
-        return self.ids.get(self.resolve(word) if "*" in word else word, 0)
+    def __getstate__(self):
+        return {"ids": self.ids, "stars": Stars(self.stars.words), "_raw": {}}
 
     def of_chunk(self, chunk: str) -> tuple[int, ...]:
         """The numbers of the tokens of a chunk."""
         bare = chunk.lstrip(_EDGES).rstrip(_ENDS).lower()
         if bare.isascii() and bare.isalpha():
-            return (self.ids.get(_DOUBLED.sub(r"\1", bare) if len(bare) > 3 else bare, 0),)
+            return (self.ids.get(hash_of(_DOUBLED.sub(r"\1", bare) if len(bare) > 3 else bare), 0),)
         if bare.isdigit():
-            return (self.ids.get("#", 0),)
-        return tuple(map(self.number, TOKEN.findall(chunk)))
-
-    def resolve(self, word: str) -> str:
-        """The harmful word that a word with stars stands for, if there is one: a star is one letter or more, at the end just one."""
-        pattern = re.compile("".join("[a-z]+" if part.startswith("*") else re.escape(part) for part in re.findall(r"\*+|[^*]+", word)))
-        # At the end a star may be a sign of its own (A*): there the length must be right.
-        apart = 0 if word.endswith("*") else 1
-        fits = [w for w in self.starred if abs(len(w) - len(word)) <= apart and pattern.fullmatch(w)]
-        return min(fits, key=lambda w: (abs(len(w) - len(word)), w)) if fits else word.replace("*", "")
+            return (self.ids.get(hash_of("#"), 0),)
+        return tuple(self.ids.get(hash_of(self.stars.read(t)), 0) for t in TOKEN.findall(chunk))
 
     def numbers(self, text: str | None) -> np.ndarray:
         raw, out = self._raw, []
@@ -163,14 +173,14 @@ class Vocabulary:
         return np.array(out, np.int64)
 
 
-def _keys(ids: np.ndarray, seed: np.ndarray, size: int) -> list[tuple[np.ndarray, np.ndarray, int]]:
+def _keys(ids: np.ndarray, marked: np.ndarray, size: int) -> list[tuple[np.ndarray, np.ndarray, int]]:
     """(feature keys, position of the last word, first word's distance) of one run of words; key 0 is no feature.
 
-    Kinds: word, pair, pair with one between, and pairs in which a seed word is just a seed word.
+    Kinds: word, pair, pair with one between, and pairs in which a marked word is just a marked word.
     """
     where, ids = np.arange(len(ids)), np.maximum(ids, 0)
     out = [(ids, where, 0)]
-    general = np.where(seed[ids], 1, ids)
+    general = np.where(marked[ids], 1, ids)
     for kind, (a, d) in enumerate(((ids, 1), (ids, 2), (general, 1), (general, 2)), start=1):
         if len(ids) <= d:
             continue
@@ -185,15 +195,15 @@ def _keys(ids: np.ndarray, seed: np.ndarray, size: int) -> list[tuple[np.ndarray
 @dataclass
 class Model:
     vocabulary: Vocabulary
-    seed: np.ndarray
+    marked: np.ndarray
     keys: np.ndarray
     weights: np.ndarray
     thresholds: np.ndarray
 
     def positional(self, ids: np.ndarray) -> list[tuple[np.ndarray, int]]:
         """For each distance of words the weights of features by position of the last word, and the distance."""
-        size, out = len(self.seed), {}
-        for keys, where, d in _keys(ids, self.seed, size):
+        size, out = len(self.marked), {}
+        for keys, where, d in _keys(ids, self.marked, size):
             some = np.flatnonzero(keys)
             w = out.setdefault(d, np.zeros(len(ids)))
             if len(some) and len(self.keys):
@@ -225,7 +235,6 @@ class Model:
                 begin[better], length[better], top[better] = first[better], size, here[better]
         return top, begin, length
 
-
     def score_texts(self, texts: Iterable[str | None]) -> np.ndarray:
         """Expected severity of each text; 0 for a text without words."""
         runs = [self.vocabulary.numbers(t) for t in texts]
@@ -238,7 +247,45 @@ class Model:
 
 def severities(scores: np.ndarray, thresholds: np.ndarray) -> np.ndarray:
     """Expected grades."""
-    return (1 / (1 + np.exp(-np.clip(scores[:, None] - thresholds[None, :], -40, 40)))).sum(1)
+    return _logistic(scores[:, None] - thresholds[None, :]).sum(1)
+
+
+def _logistic(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
+
+
+def ordered(cuts: np.ndarray) -> np.ndarray:
+    """Thresholds from the first one and the logarithms of the distances between them: ordered whatever the numbers."""
+    return np.cumsum(np.concatenate([cuts[:1], np.exp(cuts[1:])]))
+
+
+def cumulative_loss(scores: np.ndarray, grades: np.ndarray, cuts: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """The negative log-likelihood of grades under cumulative links, and its gradients by the scores and by the cuts."""
+    n, theta = len(scores), ordered(cuts)
+    reached = np.ones((n, len(theta) + 2))
+    reached[:, 1:-1] = _logistic(scores[:, None] - theta[None, :])
+    reached[:, -1] = 0.0
+    slope = reached * (1 - reached)
+    at = np.arange(n)
+    chance = np.maximum(reached[at, grades] - reached[at, grades + 1], 1e-15)
+    by_score = -(slope[at, grades] - slope[at, grades + 1]) / chance
+    size = len(theta) + 2
+    by_theta = np.bincount(grades, slope[at, grades] / chance, size) - np.bincount(grades + 1, slope[at, grades + 1] / chance, size)
+    beyond = np.cumsum(by_theta[1:-1][::-1])[::-1]  # a distance moves its threshold and those after it
+    return float(-np.log(chance).sum()), by_score, beyond * np.concatenate([[1.0], np.exp(cuts[1:])])
+
+
+class _Adam:
+    """Steps of one array down its gradient."""
+
+    def __init__(self, x: np.ndarray, rate: float = 0.05):
+        self.x, self.rate, self.mean, self.square, self.t = x, rate, np.zeros_like(x), np.zeros_like(x), 0
+
+    def step(self, gradient: np.ndarray) -> None:
+        self.t += 1
+        self.mean += 0.1 * (gradient - self.mean)
+        self.square += 0.01 * (gradient**2 - self.square)
+        self.x -= self.rate * (self.mean / (1 - 0.9**self.t)) / (np.sqrt(self.square / (1 - 0.99**self.t)) + 1e-8)
 
 
 def joined(runs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -249,95 +296,64 @@ def joined(runs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _window_features(model: Model, ids: np.ndarray, begin: np.ndarray, length: np.ndarray) -> list[np.ndarray]:
-    size = len(model.seed)
+    size = len(model.marked)
     out = []
     for b, n in zip(begin, length, strict=True):
         part = ids[b : b + n]
-        keys = np.concatenate([k for k, _, _ in _keys(part, model.seed, size)])
+        keys = np.concatenate([k for k, _, _ in _keys(part, model.marked, size)])
         out.append(np.unique(keys[keys > 0]))
     return out
 
 
-def _fit_ordinal(features: list[np.ndarray], grades: np.ndarray, prior: dict[int, float], size: int, l2: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Weights by feature key and thresholds: penalised maximum likelihood of the cumulative logit, by Adam steps.
-
-    The penalty draws weights to their prior.
-    """
+def _fit_ordinal(features: list[np.ndarray], grades: np.ndarray, size: int, l2: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weights by feature key, and thresholds: penalised maximum likelihood of the cumulative logit."""
     flat = np.concatenate(features)
     rows = np.repeat(np.arange(len(features)), [len(f) for f in features])
     keys, flat, times = np.unique(flat, return_inverse=True, return_counts=True)
     harmful = np.bincount(flat, (grades > 0)[rows], len(keys))
-    start = np.array([prior.get(int(k), 0.0) for k in keys])
     # What few windows hold would be learnt by heart, with the errors of the raters.
-    known = (harmful >= SUPPORT) | (times - harmful >= SUPPORT) | (start != 0)
+    known = (harmful >= SUPPORT) | (times - harmful >= SUPPORT)
     number = np.cumsum(known) - 1
     kept = known[flat]
-    keys, start, rows, flat = keys[known], start[known], rows[kept], number[flat[kept]]
+    keys, rows, flat = keys[known], rows[kept], number[flat[kept]]
     l2 = np.where(keys < size, l2, PAIR_PENALTY * l2)
-    w, n = start.copy(), len(features)
-    share = np.array([min(max((grades >= k).mean(), 1e-3), 0.999) for k in range(1, GRADES)])
-    theta = np.log((1 - share) / share)
-    m, v, mt, vt = np.zeros_like(w), np.zeros_like(w), np.zeros_like(theta), np.zeros_like(theta)
-    reached = grades[:, None] >= np.arange(1, GRADES)[None, :]
-    asked = reached | (np.arange(1, GRADES)[None, :] <= grades[:, None] + 1)  # continuation: a threshold counts once the one before is passed
-    for step in range(1, STEPS + 1):
-        s = np.bincount(rows, w[flat], n)
-        p = 1 / (1 + np.exp(-np.clip(s[:, None] - theta[None, :], -40, 40)))
-        g = np.where(asked, p - reached, 0.0)
-        gw = np.bincount(flat, g.sum(1)[rows], len(w)) + l2 * (w - start)
-        gt = -g.sum(0)
-        for x, grad, a, b in ((w, gw, m, v), (theta, gt, mt, vt)):
-            a += 0.1 * (grad - a)
-            b += 0.01 * (grad**2 - b)
-            x -= 0.05 * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-8)
-        theta.sort()
-    return keys, w, theta
-
-
-@dataclass
-class _Words:
-    """What is known of rated texts before any of them is fitted: their vocabulary, their runs of numbers, their sets of words."""
-
-    vocabulary: Vocabulary
-    seed: np.ndarray
-    runs: list[np.ndarray]
-    words: list[np.ndarray]
-
-    @classmethod
-    def of(cls, texts: list[str]) -> _Words:
-        plain = lru_cache(maxsize=500_000)(lambda t: canonical(t.rstrip("*")))
-        sets = [set(map(plain, tokens(t))) for t in texts]
-        df = Counter(w for s in sets for w in s)
-        kept = sorted({w for w, n in df.items() if n >= 2 and "*" not in w} | _SEEDS)
-        ids = {w: i + 2 for i, w in enumerate(kept)}
-        seed = np.zeros(len(kept) + 2, bool)
-        seed[[ids[w] for w in _SEEDS]] = True
-        vocabulary = Vocabulary(ids, sorted(_SEEDS))
-        return cls(vocabulary, seed, [vocabulary.numbers(t) for t in texts], [np.array([ids[w] for w in s if w in ids], np.int64) for s in sets])
+    w, n = np.zeros(len(keys)), len(features)
+    share = [min(max((grades >= k).mean(), 1e-3), 0.999) for k in range(1, GRADES)]
+    theta = np.log((1 - np.array(share)) / np.array(share))
+    cuts = np.concatenate([theta[:1], np.log(np.maximum(np.diff(theta), 0.1))])
+    moves = _Adam(w), _Adam(cuts)
+    for _ in range(STEPS):
+        _, by_score, by_cuts = cumulative_loss(np.bincount(rows, w[flat], n), grades, cuts)
+        moves[0].step(np.bincount(flat, by_score[rows], len(w)) + l2 * w)
+        moves[1].step(by_cuts)
+    return keys, w, ordered(cuts)
+
+
+def _odds(words: list[np.ndarray], grades: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Log odds of harm given a word, against those of any document, drawn to even by CAUTION documents; documents of the highest grade."""
+    df, harm = np.zeros(size), np.zeros(size)
+    for own, g in zip(words, grades, strict=True):
+        df[own] += 1
+        if g == GRADES - 1:
+            harm[own] += 1
+    rate = min(max(float((grades == GRADES - 1).mean()) if len(grades) else 0.1, 0.02), 0.5)
+    return np.log((harm + CAUTION * rate) / (df - harm + CAUTION * (1 - rate))) - np.log(rate / (1 - rate)), harm
 
 
-def _fit_some(known: _Words, which: np.ndarray, grades: np.ndarray, l2: float) -> Model:
-    """Weights and thresholds from some of the texts, not yet calibrated.
+def _fit_some(runs: list[np.ndarray], words: list[np.ndarray], grades: np.ndarray, vocabulary: Vocabulary, size: int, l2: float) -> Model:
+    """Weights and thresholds from texts, not yet calibrated. runs: their words in order; words: their sets.
 
     Windows of documents without harm are gathered over the rounds: in each round every piece of such a document adds its
     most severe window if the model takes it for severe, so what was once mistaken for harm stays among the examples. Raters
     err: from the third round on, a document whose grade the model contradicts clearly is left out (TRUSTED).
     """
-    grades, runs, size = grades[which], [known.runs[i] for i in which], len(known.seed)
-    df, harm = np.zeros(size), np.zeros(size)
-    for i, g in zip(which, grades, strict=True):
-        df[known.words[i]] += 1
-        if g == GRADES - 1:
-            harm[known.words[i]] += 1
-    rate = min(max(float((grades == GRADES - 1).mean()) if len(runs) else 0.1, 0.02), 0.5)
-    # Odds of harm given a word, against those of any document, drawn to even by CAUTION documents.
-    odds = np.log((harm + CAUTION * rate) / (df - harm + CAUTION * (1 - rate))) - np.log(rate / (1 - rate))
-    prior = {int(i): SEED_PRIOR for i in np.flatnonzero(known.seed)}
-    start = np.where(df > 0, np.clip(odds, -1, 3), 0) + np.where(known.seed, SEED_PRIOR, 0)
-    model = Model(known.vocabulary, known.seed, np.arange(2, size), start[2:], np.array([2.0, 3.0]))
+    odds, harm = _odds(words, grades, size)
+    marked = (harm >= MARKED_DOCS) & (odds >= MARKED_ODDS)
+    marked[:2] = False
+    model = Model(vocabulary, marked, np.arange(2, size), np.where(harm > 0, np.clip(odds, -1, 3), np.minimum(odds, 0))[2:], np.array([2.0, 3.0]))
     rated = np.flatnonzero(grades > 0)
     if not len(rated):
-        return model
+        return Model(vocabulary, marked, np.empty(0, np.int64), np.empty(0), np.array([2.0, 3.0]))
     flat, starts = joined(runs)
     lengths = [max(1, -(-len(r) // PIECE)) for r in runs]
     begins = np.concatenate([s + PIECE * np.arange(n) for s, n in zip(starts, lengths, strict=True)])
@@ -350,7 +366,7 @@ def _fit_some(known: _Words, which: np.ndarray, grades: np.ndarray, l2: float) -
         tops, at, n = model.best(flat, begins)
         best = np.lexsort((-tops, of))[heads]
         if round_ > 1:
-            scale, theta = _calibrate(tops[best], grades)
+            scale, theta, _ = _calibrate(tops[best], grades)
             severity = severities(tops[best] * scale, theta)
             trusted = np.where(grades > 0, severity >= TRUSTED[0], severity < TRUSTED[1])
         hard = np.flatnonzero((grades[of] == 0) & ((tops > model.thresholds[0] - 2.0) | np.isin(np.arange(len(of)), best)))
@@ -366,61 +382,104 @@ def _fit_some(known: _Words, which: np.ndarray, grades: np.ndarray, l2: float) -
             break
         features = [f for f, _ in harmful.values()] + list(harmless.values())
         all_grades = np.array([g for _, g in harmful.values()] + [0] * len(harmless), int)
-        model.keys, model.weights, model.thresholds = _fit_ordinal(features, all_grades, prior, size, l2)
+        model.keys, model.weights, model.thresholds = _fit_ordinal(features, all_grades, size, l2)
     return model
 
 
-def fit(texts: list[str], grades: np.ndarray, groups: Sequence | None = None, *, l2: float = 1.0) -> Model:
-    """A model from rated texts. Without a harmful one the seed words alone carry the scores.
+def _numbered(texts: Sequence[np.ndarray], starred: Sequence[str]) -> tuple[Vocabulary, int, list[np.ndarray], list[np.ndarray]]:
+    """A vocabulary of the hashes that stand in at least two texts, its size, the runs and the sets of words of the texts."""
+    sets = [np.unique(t) for t in texts]
+    known, df = np.unique(np.concatenate(sets) if sets else np.empty(0, np.int64), return_counts=True)
+    known = known[df >= 2]
+    vocabulary = Vocabulary(dict(zip(known.tolist(), range(2, len(known) + 2), strict=True)), Stars(list(starred)))
+
+    def numbers(own: np.ndarray) -> np.ndarray:
+        if not len(known):
+            return np.zeros(len(own), np.int64)
+        at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+        return np.where(known[at] == own, at + 2, 0)
+
+    runs, words = [numbers(t) for t in texts], [numbers(s) for s in sets]
+    return vocabulary, len(known) + 2, runs, [w[w > 0] for w in words]
+
+
+def fit_side(texts: Sequence[np.ndarray], grades: np.ndarray, groups: Sequence, side: int, *, starred: Sequence[str] = (), l2: float = PENALTIES[0]) -> tuple[Model | None, np.ndarray]:
+    """A model of the texts (hashes of their words). side 0: of all. side 1 or 2: of one half, and the scores of the other half by it; NaN elsewhere."""
+    vocabulary, size, runs, words = _numbered(texts, starred)
+    tops = np.full(len(texts), np.nan)
+    if side == 0:
+        return _fit_some(runs, words, grades, vocabulary, size, l2), tops
+    half = np.array([zlib.crc32(str(g).encode()) % 2 for g in groups], int) + 1
+    own, other = np.flatnonzero(half == side), np.flatnonzero(half != side)
+    if len(own) and len(other):
+        flat, starts = joined([runs[i] for i in own])
+        model = _fit_some([runs[i] for i in other], [words[i] for i in other], grades[other], vocabulary, size, l2)
+        tops[own] = model.best(flat, starts)[0]
+    return None, tops
+
+
+def calibrated(models: Sequence[Model], tops: Sequence[np.ndarray], grades: np.ndarray) -> Model:
+    """The model of the penalty under which documents outside the fit are likeliest, with the scale and thresholds that fit their scores."""
+    best = None
+    for model, own in zip(models, tops, strict=True):
+        some = np.isfinite(own)
+        if not (grades[some] > 0).any():
+            return pruned(model)
+        scale, thresholds, loss = _calibrate(own[some], grades[some])
+        if best is None or loss < best[0]:
+            best = (loss, model, scale, thresholds)
+    _, model, scale, model.thresholds = best
+    model.weights = model.weights * scale
+    return pruned(model)
+
 
-    Scale and thresholds are those of documents the weights were not fitted on: each half of the texts is scored by weights of
-    the other half. Texts of one group (the revisions of a page) are in one half.
+def fit(texts: Sequence[str], grades: np.ndarray, groups: Sequence | None = None, *, penalties: Sequence[float] = PENALTIES) -> Model:
+    """A model from rated texts, in one process. Without a harmful one every text has the same low severity.
+
+    Penalty, scale and thresholds are those of documents the weights were not fitted on: each half of the texts is scored by
+    weights of the other half. Texts of one group (the revisions of a page) are in one half.
     """
-    known = _Words.of(texts)
-    every = np.arange(len(texts))
-    model = _fit_some(known, every, grades, l2)
-    if (grades > 0).any():
-        groups = every if groups is None else groups
-        half = np.array([zlib.crc32(str(g).encode()) % 2 for g in groups], int)
-        tops = np.zeros(len(texts))
-        for side in (0, 1):
-            own, other = np.flatnonzero(half == side), np.flatnonzero(half != side)
-            if len(own):
-                flat, starts = joined([known.runs[i] for i in own])
-                tops[own] = _fit_some(known, other, grades, l2).best(flat, starts)[0]
-        scale, model.thresholds = _calibrate(tops, grades)
-        model.weights = model.weights * scale
-    return pruned(model)
+    groups = range(len(texts)) if groups is None else groups
+    plain = [[canonical(t) for t in tokens(x)] for x in texts]
+    starred = marked_words(plain, grades)
+    stars = Stars(starred)
+    hashed = [np.array([hash_of(stars.resolve(w) if "*" in w else w) for w in own], np.int64) for own in plain]
+    sides = [[fit_side(hashed, grades, groups, side, starred=starred, l2=l2) for side in (0, 1, 2)] for l2 in penalties]
+    return calibrated([own[0][0] for own in sides], [np.where(np.isnan(own[1][1]), own[2][1], own[1][1]) for own in sides], grades)
+
+
+def marked_words(plain: Sequence[Sequence[str]], grades: np.ndarray) -> list[str]:
+    """The words that mark harm by the odds of the rated texts."""
+    words = sorted({w for own in plain for w in own if "*" not in w and w.isalpha()})
+    ids = {w: i for i, w in enumerate(words)}
+    odds, harm = _odds([np.array(sorted({ids[w] for w in own if w in ids}), np.int64) for own in plain], grades, len(words))
+    return [w for w, o, h in zip(words, odds, harm, strict=True) if h >= MARKED_DOCS and o >= MARKED_ODDS]
 
 
-def _calibrate(tops: np.ndarray, grades: np.ndarray) -> tuple[float, np.ndarray]:
-    """Scale and thresholds for the scores of whole documents: fitting saw more harmless windows than documents have.
+def _calibrate(tops: np.ndarray, grades: np.ndarray) -> tuple[float, np.ndarray, float]:
+    """Scale, thresholds and loss for the scores of whole documents: fitting saw more harmless windows than documents have.
 
     They are drawn to USUAL, which decides where next to nothing is rated and is outweighed by a few hundred documents.
     """
-    tops = np.maximum(tops, tops[np.isfinite(tops)].min())
-    scale, theta = np.ones(1), np.array(USUAL[1])
-    reached = grades[:, None] >= np.arange(1, GRADES)[None, :]
-    state = [np.zeros_like(x) for x in (scale, scale, theta, theta)]
-    for step in range(1, 401):
-        p = 1 / (1 + np.exp(-np.clip(tops[:, None] * scale[0] - theta[None, :], -40, 40)))
-        g = p - reached
-        for i, (x, grad) in enumerate(((scale, np.array([(g.sum(1) * tops).sum()]) + 4 * (scale - USUAL[0])), (theta, -g.sum(0) + 2 * (theta - np.array(USUAL[1]))))):
-            a, b = state[2 * i], state[2 * i + 1]
-            a += 0.1 * (grad - a)
-            b += 0.01 * (grad**2 - b)
-            x -= 0.05 * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-8)
+    finite = tops[np.isfinite(tops)]
+    tops = np.maximum(tops, finite.min() if len(finite) else 0.0)
+    usual = np.array([USUAL[1], np.log(USUAL[2])])
+    scale, cuts = np.array([USUAL[0]]), usual.copy()
+    moves = _Adam(scale), _Adam(cuts)
+    for _ in range(400):
+        _, by_score, by_cuts = cumulative_loss(tops * scale[0], grades, cuts)
+        moves[0].step(np.array([(by_score * tops).sum()]) + 4 * (scale - USUAL[0]))
+        moves[1].step(by_cuts + 2 * (cuts - usual))
         scale[0] = max(scale[0], 0.2)
-        theta.sort()
-    return float(scale[0]), theta
+    return float(scale[0]), ordered(cuts), cumulative_loss(tops * scale[0], grades, cuts)[0]
 
 
 def pruned(model: Model, least: float = 0.02) -> Model:
-    """Without features of next to no weight and words no feature needs; seed words stay."""
-    size = len(model.seed)
+    """Without features of next to no weight and words no feature needs."""
+    size = len(model.marked)
     keep = np.abs(model.weights) >= least
     keys, weights = model.keys[keep], model.weights[keep]
-    used = {int(i) for i in np.flatnonzero(model.seed)}
+    used = {int(i) for i in np.flatnonzero(model.marked)}
     for k in keys.tolist():
         used.update([k] if k < size else [k % size, k // size % size])
     order = {old: new for new, old in enumerate(sorted(used - {0, 1}), start=2)}
@@ -428,11 +487,10 @@ def pruned(model: Model, least: float = 0.02) -> Model:
     small = len(order)
     new = [order[k] if k < size else (k // size // size * small + order[k // size % size]) * small + order[k % size] for k in keys.tolist()]
     at = np.argsort(new) if new else np.empty(0, np.int64)
-    seed = np.zeros(small, bool)
-    seed[[order[int(i)] for i in np.flatnonzero(model.seed)]] = True
+    marked = np.zeros(small, bool)
+    marked[[order[int(i)] for i in np.flatnonzero(model.marked)]] = True
     ids = {w: order[i] for w, i in model.vocabulary.ids.items() if i in order}
-    known = [w for w in model.vocabulary.starred if w in ids]
-    return Model(Vocabulary(ids, known), seed, np.array(new, np.int64)[at], weights[at], model.thresholds)
+    return Model(Vocabulary(ids, model.vocabulary.stars), marked, np.array(new, np.int64)[at], weights[at], model.thresholds)
 
 
 def graded(labels: DataFrame) -> DataFrame:
@@ -443,19 +501,74 @@ def graded(labels: DataFrame) -> DataFrame:
     return votes.select("doc_id", F.when(F.col("h") == 0, 0).when(F.col("h") == F.col("n"), 2).otherwise(1).alias("grade"))
 
 
-def rated_sample(documents: DataFrame, labels: DataFrame, most: int = MOST_RATED) -> list[tuple]:
-    """doc_id, text, grade and page of at most `most` rated documents; which ones depends on doc_id alone."""
+def rated_words(documents: DataFrame, labels: DataFrame, most: int = MOST_RATED) -> DataFrame:
+    """doc_id, grade, page and the canonical words of at most `most` rated documents; which ones depends on doc_id alone."""
     chosen = graded(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     group = F.col("page_id") if "page_id" in documents.columns else F.col("doc_id")
-    texts = documents.where(F.col("text").isNotNull() & (F.length("text") <= MOST_CHARS)).select("doc_id", "text", group.alias("page"))
+    texts = documents.where(F.col("text").isNotNull() & (F.length("text") <= MOST_CHARS)).select("doc_id", "text", group.cast("string").alias("page"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [[canonical(t) for t in tokens(x)] for x in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(words, pa.list_(pa.string()))], names=["doc_id", "grade", "page", "words"])
+
     # At most `most` pairs of two numbers are sent to the executors.
-    rows = texts.join(F.broadcast(chosen), "doc_id").collect()
-    return sorted((r.doc_id, r.text, r.grade, r.page) for r in rows)
+    rated = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "grade", "page", "text")
+    return cut(rated.mapInArrow(read, "doc_id long, grade int, page string, words array<string>"))
+
+
+def marked_of(rated: DataFrame) -> list[str]:
+    """marked_words of a table: the few words that mark harm go to the driver."""
+    n, harmful = rated.agg(F.count(F.lit(1)), F.count(F.when(F.col("grade") == GRADES - 1, 1))).first()
+    rate = min(max(harmful / n if n else 0.1, 0.02), 0.5)
+    counts = rated.select("grade", F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(
+        F.count(F.lit(1)).alias("df"), F.count(F.when(F.col("grade") == GRADES - 1, 1)).alias("harm")
+    )
+    odds = F.log((F.col("harm") + CAUTION * rate) / (F.col("df") - F.col("harm") + CAUTION * (1 - rate))) - float(np.log(rate / (1 - rate)))
+    found = counts.where((F.col("harm") >= MARKED_DOCS) & (odds >= MARKED_ODDS)).select("word").collect()
+    return sorted(r.word for r in found if "*" not in r.word and r.word.isalpha())
 
 
 def train(documents: DataFrame, labels: DataFrame, *, most: int = MOST_RATED) -> Model:
-    sample = rated_sample(documents, labels, most)
-    return fit([s[1] for s in sample], np.array([s[2] for s in sample], int), [s[3] for s in sample])
+    """A model from the ratings of documents, fitted as by `fit`.
+
+    The executors read the rated documents and hand on the hashes of their words. The model and the two halves that
+    calibrate it are fitted in a task each, for each penalty: the bounds of the sample bound a task. Only the words that mark
+    harm, the models and a few numbers for each rated document go to the driver.
+    """
+    rated = rated_words(documents, labels, most)
+    starred = marked_of(rated)
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stars = Stars(starred)
+        for batch in batches:
+            numbers = [[hash_of(stars.resolve(w) if "*" in w else w) for w in own] for own in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(numbers, pa.list_(pa.int64()))], names=["doc_id", "grade", "page", "words"])
+
+    words = rated.mapInArrow(hashed, "doc_id long, grade int, page string, words array<bigint>")
+
+    def fitted(side: int, l2: float):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(batches, schema=pa.schema([("doc_id", pa.int64()), ("grade", pa.int32()), ("page", pa.string()), ("words", pa.list_(pa.int64()))]))
+            if not table.num_rows:
+                return
+            ids, grades, pages, texts = (table.column(i).to_pylist() for i in range(4))
+            order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))
+            grade = np.array([grades[i] for i in order], int)
+            model, tops = fit_side([np.array(texts[i], np.int64) for i in order], grade, [pages[i] for i in order], side, starred=starred, l2=l2)
+            raw = b"" if model is None else pickle.dumps(pruned(model))
+            values = ((side, pa.int32()), (l2, pa.float64()), (raw, pa.binary()), (tops, pa.list_(pa.float64())), (grade, pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in values], names=["side", "l2", "model", "tops", "grades"])
+
+        return words.repartition(1).mapInArrow(run, "side int, l2 double, model binary, tops array<double>, grades array<bigint>")
+
+    tasks = [fitted(side, l2) for side in (0, 1, 2) for l2 in PENALTIES]
+    sides = {(r.side, r.l2): r for r in reduce(DataFrame.union, tasks).collect()}
+    if not sides:
+        return fit([], np.empty(0, int))
+    halves = [[np.array(sides[side, l2].tops, float) for side in (1, 2)] for l2 in PENALTIES]
+    models = [pickle.loads(sides[0, l2].model) for l2 in PENALTIES]
+    return calibrated(models, [np.where(np.isnan(a), b, a) for a, b in halves], np.array(sides[0, PENALTIES[0]].grades, int))
 
 
 def score(documents: DataFrame, model: Model, *, keep: Sequence[str] = ()) -> DataFrame:

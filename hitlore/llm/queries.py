@@ -32,8 +32,9 @@ def p9_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "eval_items").select("item_id", "suite").join(found, "item_id", "left").select("item_id", "suite", F.coalesce("docs", F.lit(0)).alias("docs"))
 
 
-#: A document is a case if a higher grade than none is to be expected.
-SEVERE = 1.0
+#: A document is a case from this expected severity on. Raters miss harm more often than they invent it, so that a document of
+#: which all agree has less than its grade to expect; held-out ratings (README) set the bound.
+SEVERE = 0.8
 
 
 def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
