@@ -19,10 +19,10 @@ import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -547,23 +547,21 @@ def train(documents: DataFrame, labels: DataFrame, *, most: int = MOST_RATED) ->
 
     words = rated.mapInArrow(hashed, "doc_id long, grade int, page string, words array<bigint>")
 
-    def fitted(side: int, l2: float):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table = pa.Table.from_batches(batches, schema=pa.schema([("doc_id", pa.int64()), ("grade", pa.int32()), ("page", pa.string()), ("words", pa.list_(pa.int64()))]))
-            if not table.num_rows:
-                return
-            ids, grades, pages, texts = (table.column(i).to_pylist() for i in range(4))
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = pa.Table.from_batches(batches, schema=pa.schema([("doc_id", pa.int64()), ("grade", pa.int32()), ("page", pa.string()), ("words", pa.list_(pa.int64())), ("task", pa.int32())]))
+        for task in sorted(set(whole.column(4).to_pylist())):
+            ids, grades, pages, texts = (whole.filter(pc.equal(whole.column(4), task)).column(i).to_pylist() for i in range(4))
             order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))
             grade = np.array([grades[i] for i in order], int)
+            side, l2 = tasks[task]
             model, tops = fit_side([np.array(texts[i], np.int64) for i in order], grade, [pages[i] for i in order], side, starred=starred, l2=l2)
             raw = b"" if model is None else pickle.dumps(pruned(model))
-            values = ((side, pa.int32()), (l2, pa.float64()), (raw, pa.binary()), (tops, pa.list_(pa.float64())), (grade, pa.list_(pa.int64())))
-            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in values], names=["side", "l2", "model", "tops", "grades"])
+            values = ((task, pa.int32()), (raw, pa.binary()), (tops, pa.list_(pa.float64())), (grade, pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in values], names=["task", "model", "tops", "grades"])
 
-        return words.repartition(1).mapInArrow(run, "side int, l2 double, model binary, tops array<double>, grades array<bigint>")
-
-    tasks = [fitted(side, l2) for side in (0, 1, 2) for l2 in PENALTIES]
-    sides = {(r.side, r.l2): r for r in reduce(DataFrame.union, tasks).collect()}
+    tasks = [(side, l2) for side in (0, 1, 2) for l2 in PENALTIES]
+    copies = words.withColumn("task", F.explode(F.array(*(F.lit(i) for i in range(len(tasks)))))).repartitionByRange(len(tasks), "task")
+    sides = {tasks[r.task]: r for r in copies.mapInArrow(fitted, "task int, model binary, tops array<double>, grades array<bigint>").collect()}
     if not sides:
         return fit([], np.empty(0, int))
     halves = [[np.array(sides[side, l2].tops, float) for side in (1, 2)] for l2 in PENALTIES]
