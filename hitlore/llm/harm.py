@@ -548,7 +548,10 @@ def train(documents: DataFrame, labels: DataFrame, *, most: int = MOST_RATED) ->
     words = rated.mapInArrow(hashed, "doc_id long, grade int, page string, words array<bigint>")
 
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = pa.Table.from_batches(batches, schema=pa.schema([("doc_id", pa.int64()), ("grade", pa.int32()), ("page", pa.string()), ("words", pa.list_(pa.int64())), ("task", pa.int32())]))
+        own = list(batches)
+        if not own:
+            return
+        whole = pa.Table.from_batches(own)
         for task in sorted(set(whole.column(4).to_pylist())):
             ids, grades, pages, texts = (whole.filter(pc.equal(whole.column(4), task)).column(i).to_pylist() for i in range(4))
             order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))
