@@ -60,3 +60,19 @@ class Log:
 
     def features(self, known: reqfeatures.Known = reqfeatures.Known(), *, ordered: bool = False) -> DataFrame:
         return reqfeatures.features(self.rows, known, ordered=ordered)
+
+    def answer(self, command, backlog: int = 1000) -> tuple[str, DataFrame | str | None]:
+        """The reply to a subscriber's command: its kind, and the rows or the reason.
+
+        {"SubScribeWithBacklog": {"backlog": n}} gives Attached and the rows from n before the open block on; {"FetchRange":
+        {"start": a, "end": b}} gives Rows; "Detach" gives Detached; anything else, and a range that is none, gives Error.
+        """
+        match command:
+            case "Detach":
+                return "Detached", None
+            case {"SubScribeWithBacklog": {"backlog": int(n)}} if n >= 0:
+                return "Attached", self.tail(n)
+            case {"FetchRange": {"start": int(a), "end": int(b)}} if 0 <= a <= b:
+                return "Rows", self.fetch_range(a, b)
+            case _:
+                return "Error", f"no such command: {command!r}"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import time
 from functools import reduce
 
@@ -13,10 +14,24 @@ from hitlore.filterlang.parser import parse
 
 
 def java_regex(pattern: str) -> str:
-    """The pattern for Java: Unicode classes, and a final $ that is the end and not before a last line break."""
-    if pattern.endswith("$") and (len(pattern) - len(pattern[:-1].rstrip("\\")) - 1) % 2 == 0:
-        pattern = pattern[:-1] + r"\z"
-    return "(?U)" + pattern
+    """The pattern for Java: Unicode classes, a dot that stops at \\n alone, and a $ that is the end and not before a last line break.
+
+    With (?m) a $ is the end of a line and stays.
+    """
+    if "m" in "".join(re.findall(r"\(\?([a-zA-Z]+)[):-]", pattern)):
+        return "(?Ud)" + pattern
+    out, inside, at, dots = [], 0, 0, False
+    while at < len(pattern):
+        c = pattern[at]
+        if c == "\\":
+            out.append(pattern[at : at + 2])
+            at += 2
+            continue
+        inside += (c == "[") - (c == "]" and inside > 0)
+        dots |= c == "." and not inside
+        out.append(r"\z" if c == "$" and not inside else c)
+        at += 1
+    return ("(?Ud)" if dots else "(?U)") + "".join(out)
 
 
 def text_test(c: Column, t: Text) -> Column:
@@ -62,33 +77,21 @@ def _field(f: Field, now: int) -> Column:
 
 
 def compile_filter(f, *, now: int | None = None) -> Column:
-    """The expression of a filter (text, AST or None) over the columns of the access log.
+    """The expression of a filter (text, AST or None) over the columns of the access log; it is never NULL.
 
-    now is the moment that relative times refer to, by default that of the call. Each comparison over a column that may be
-    NULL counts as false, so a plain conjunct still reaches the scan: NULL and false are the same to a filter there.
+    now is the moment that relative times refer to, by default that of the call. A comparison asks for a value first, so it is
+    false where there is none, and both halves of it reach the scan.
     """
     now = int(time.time()) if now is None else now
     if f is None:
         return F.lit(True)
-    if isinstance(f, str):
-        f = parse(f)
-    return _positive(f, now)
-
-
-def _positive(f, now: int) -> Column:
-    """An expression for the top of a WHERE clause, where NULL means false: leaves stay bare, so that they can be pushed down."""
-    if isinstance(f, Field):
-        return _field(f, now)
-    if isinstance(f, Combined) and f.op in ("and", "or"):
-        parts = [_positive(p, now) for p in f.parts]
-        return reduce((lambda a, b: a & b) if f.op == "and" else (lambda a, b: a | b), parts)
-    return _exact(f, now)
+    return _exact(parse(f) if isinstance(f, str) else f, now)
 
 
 def _exact(f, now: int) -> Column:
-    """An expression that is never NULL."""
     if isinstance(f, Field):
-        return F.coalesce(_field(f, now), F.lit(False))
+        value = F.col("ip4") if isinstance(f.test, Address) else F.col("headers" if isinstance(f.test, Header) else f.name)
+        return value.isNotNull() & _field(f, now)
     if isinstance(f, Not):
         return ~_exact(f.part, now)
     parts = [_exact(p, now) for p in f.parts]
@@ -98,8 +101,8 @@ def _exact(f, now: int) -> Column:
 
 
 def flag(f, *, now: int | None = None) -> Column:
-    """As compile_filter, but never NULL: for a projection instead of a WHERE clause."""
-    return F.coalesce(compile_filter(f, now=now), F.lit(False))
+    """compile_filter under its older name for projections."""
+    return compile_filter(f, now=now)
 
 
 def where(log: DataFrame, f, *, now: int | None = None) -> DataFrame:

@@ -5,10 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PAIR = "struct<key:string,value:string>"
@@ -84,21 +82,18 @@ def format_ip(ip_hex: Column, ip4: Column) -> Column:
 
 def fingerprint_hex(tls_fp: Column) -> Column:
     """The number a fingerprint is, as 32 hex digits: its bytes from last to first."""
-    return F.lower(F.hex(F.reverse(tls_fp)))
+    return F.lower(F.array_join(F.reverse(F.regexp_extract_all(F.hex(tls_fp), F.lit(".."), F.lit(0))), ""))
 
 
-@F.pandas_udf(T.StringType())
-def hex_view(data: pd.Series) -> pd.Series:
-    """A hex dump of 16 bytes a row: offset, bytes, printable characters."""
+def hex_view(data: Column | str) -> Column:
+    """A hex dump of 16 bytes a row: offset, bytes, printable characters; NULL for NULL, one empty row for no bytes."""
+    data = F.col(data) if isinstance(data, str) else data
 
-    def dump(raw):
-        if raw is None:
-            return None
-        rows = []
-        for at in range(0, max(len(raw), 1), 16):
-            part = raw[at : at + 16]
-            shown = "".join(chr(b) if 32 <= b < 127 else "." for b in part)
-            rows.append(f"{at:08X}  {' '.join(f'{b:02X}' for b in part):<47}  {shown}")
-        return "\n".join(rows)
+    def row(i: Column) -> Column:
+        part = F.substring(data, i * 16 + 1, F.lit(16))
+        spaced = F.trim(F.regexp_replace(F.hex(part), "(..)", "$1 "))
+        shown = F.regexp_replace(F.decode(part, "ISO-8859-1"), "[^ -~]", ".")
+        return F.concat(F.lpad(F.hex(i * 16), 8, "0"), F.lit("  "), F.rpad(spaced, 47, " "), F.lit("  "), shown)
 
-    return data.map(dump)
+    rows = F.sequence(F.lit(0), F.greatest(F.ceil(F.octet_length(data) / 16), F.lit(1)).cast("int") - 1)
+    return F.when(data.isNotNull(), F.array_join(F.transform(rows, row), "\n"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hitlore.session import cut
+from hitlore.session import bucketed
 
 FEATURE = "map<string,struct<n:bigint,last:bigint,total:bigint>>"
 
@@ -21,9 +21,9 @@ def feature_table(events: DataFrame, entities: DataFrame, *, blocks: int = 4) ->
     events has the columns entity, event_type, time, amount; entities has the column entity, each entity at least once.
 
     Method: the events are counted per entity and type with map-side combining, so a busy entity leaves each input
-    partition as at most one row per type; the counts are placed once by entity and written to the shared folder. Every
-    block of types is then aggregated by entity and joined to the complete entity table; all of them keep the one
-    placement, so neither the aggregations nor the joins move rows.
+    partition as at most one row per type; the counts are written once to the shared folder, in buckets of the entity. Every
+    block of types is then aggregated by entity and joined to the complete entity table; all of them keep the buckets, so
+    neither the aggregations nor the joins move rows of counts.
 
     Defined cases: an entity without events has empty maps; NULL event types are counted as the type ''; NULL times do not
     count towards `last`, NULL amounts count as 0; an entity NULL is left out; events of entities that the entity table
@@ -34,7 +34,7 @@ def feature_table(events: DataFrame, entities: DataFrame, *, blocks: int = 4) ->
         .groupBy("entity", F.coalesce(F.col("event_type"), F.lit("")).alias("event_type"))
         .agg(F.count(F.lit(1)).alias("n"), F.max("time").alias("last"), F.coalesce(F.sum("amount"), F.lit(0).cast("long")).alias("total"))
     )
-    placed = cut(counts.withColumn("block", block_of(F.col("event_type"), blocks)).repartition("entity"), placed=True)
+    placed = bucketed(counts.withColumn("block", block_of(F.col("event_type"), blocks)), "entity")
     table = entities.where(F.col("entity").isNotNull()).select("entity").distinct()
     for block in range(blocks):
         part = (

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -16,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hitlore.operators.reqfeatures import NAMES, Known, features
-from hitlore.session import shared_folder
+from hitlore.session import place
 
 
 @dataclass(frozen=True)
@@ -82,6 +81,25 @@ class Trees:
     vote: np.ndarray
     roots: np.ndarray
 
+    @classmethod
+    def grown(cls, columns: Sequence[str], trees: Sequence) -> Trees:
+        """Trees from nested nodes (column, threshold, node up to it, node above it) and votes."""
+        nodes: list[list] = []
+
+        def add(node) -> int:
+            at = len(nodes)
+            nodes.append([-1, 0.0, -1, -1, 0.0])
+            if isinstance(node, tuple):
+                column, threshold, low, high = node
+                nodes[at] = [list(columns).index(column), threshold, add(low), add(high), 0.0]
+            else:
+                nodes[at][4] = float(node)
+            return at
+
+        roots = [add(t) for t in trees]
+        column, threshold, left, right, vote = (np.array(c) for c in zip(*nodes, strict=True))
+        return cls(tuple(columns), column.astype(int), threshold, left.astype(int), right.astype(int), vote, np.array(roots))
+
     def share(self, x: np.ndarray) -> np.ndarray:
         """The share of trees that vote for a bot, for each row of x."""
         votes = np.zeros(len(x))
@@ -98,7 +116,7 @@ class Trees:
 
 def trees_of(spark: SparkSession, model: PipelineModel) -> Trees:
     """The nodes of a model: as many rows as the forest has nodes, whatever the number of requests."""
-    path = f"{shared_folder(spark)}/forest-{uuid.uuid4().hex}"
+    path = place(spark, "forest")
     model.stages[-1].write().overwrite().save(path)
     nodes = spark.read.parquet(f"{path}/data").select(
         "treeID", "nodeData.id", "nodeData.prediction", "nodeData.leftChild", "nodeData.rightChild", "nodeData.split.featureIndex",

@@ -8,7 +8,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hitlore.filterlang import compile_filter
+from hitlore import filterlang
 
 
 def end(log: DataFrame) -> int:
@@ -53,7 +53,8 @@ class FilteredPage:
     """The first `rows` rows at or after `start` that a filter keeps.
 
     Every read is a bounded, ordered limit: Spark keeps the first rows of each partition and merges those, so no sort of the
-    log takes place. `now` fixes what relative times refer to.
+    log takes place. It looks through windows of positions that double, and stops at the first that makes the page full: a
+    page of a huge log reads no more than about twice the rows it has to. `now` fixes what relative times refer to.
     """
 
     log: DataFrame
@@ -61,32 +62,50 @@ class FilteredPage:
     rows: int = 20
     start: int = 0
     now: int | None = None
+    window: int = 1_000_000
 
     def matching(self) -> DataFrame:
-        return self.log.where(compile_filter(self.filter, now=self.now))
+        return filterlang.where(self.log, self.filter, now=self.now)
 
     def set_filter(self, f) -> FilteredPage:
         return replace(self, filter=f)
 
+    def ahead(self, n: int) -> DataFrame:
+        """The first n matches at or after the start."""
+        at, size, found, rows = self.start, self.window, 0, self.matching()
+        while True:
+            found += rows.where((F.col("position") >= at) & (F.col("position") < at + size)).limit(n - found).count()
+            at, size = at + size, size * 2
+            if found >= n or at >= end(self.log):
+                return first(rows.where(F.col("position") < at), self.start, n)
+
+    def behind(self, n: int, beyond: int) -> DataFrame:
+        """The last n matches before `beyond`."""
+        at, size, found, rows = beyond, self.window, 0, self.matching().where(F.col("position") < beyond)
+        while found < n and at > 0:
+            found += rows.where((F.col("position") >= at - size) & (F.col("position") < at)).limit(n - found).count()
+            at, size = at - size, size * 2
+        return last(rows.where(F.col("position") >= at), n)
+
     def render(self) -> DataFrame:
-        return first(self.matching(), self.start, self.rows)
+        return self.ahead(self.rows)
 
     def next(self, n: int) -> DataFrame:
         """The next n matches after the page."""
         shown = self.render().agg(F.max("position").alias("p")).first().p
-        return first(self.matching(), (shown if shown is not None else self.start - 1) + 1, n)
+        return replace(self, start=(shown if shown is not None else self.start - 1) + 1).ahead(n)
 
     def scroll_by(self, n: int) -> tuple[FilteredPage, bool]:
         """Moves the page by n matches, backwards for a negative n; True if the log has no more in that direction."""
         if n >= 0:
-            ahead = [r.position for r in first(self.matching(), self.start, self.rows + n).select("position").collect()]
+            ahead = [r.position for r in self.ahead(self.rows + n).select("position").collect()]
             moved = ahead[max(len(ahead) - self.rows, 0) :]
             return replace(self, start=moved[0] if moved else self.start), len(ahead) < self.rows + n
-        back = last(self.matching().where(F.col("position") < self.start), -n).agg(F.min("position").alias("p"), F.count(F.lit(1)).alias("n")).first()
+        back = self.behind(-n, self.start).agg(F.min("position").alias("p"), F.count(F.lit(1)).alias("n")).first()
         return replace(self, start=back.p if back.n == -n else 0), back.n < -n
 
     def scroll_to_end(self) -> FilteredPage:
-        start = last(self.matching(), self.rows).agg(F.min("position").alias("p")).first().p
+        start = self.behind(self.rows, end(self.log)).agg(F.min("position").alias("p")).first().p
         return replace(self, start=0 if start is None else start)
 
     def windows(self, block_rows: int = 10_000) -> Iterator[DataFrame]:

@@ -113,6 +113,40 @@ w AS (SELECT position, time, list({{'t': time, 'u': uri, 'a': agent, 's': {_any(
 r AS (SELECT position, time, list_filter(l, lambda x: x.t >= time - 300) AS l FROM w)
 """
 
+_ADDRESS = "array_to_string(list_transform(range(8), lambda i: regexp_replace(substr(lower(hex(ip)), 4 * i + 1, 4), '^0{1,3}', '')), ':')"
+
+
+def _short(x: str) -> str:
+    """IPv6 text with its first longest run of zero groups as '::'."""
+    runs = [(n, "(^|:)0" + ":0" * (n - 1) + "($|:)") for n in range(8, 1, -1)]
+    return "CASE " + " ".join(f"WHEN regexp_matches({x}, '{r}') THEN regexp_replace({x}, '{r}', '::')" for _, r in runs) + f" ELSE {x} END"
+
+
+def _dump() -> str:
+    pairs = "list_transform(range(greatest(least(16, octet_length(body) - 16 * i), 0)), lambda j: substr(hex(body), CAST(32 * i + 2 * j + 1 AS BIGINT), 2))"
+    shown = f"array_to_string(list_transform({pairs}, lambda x: CASE WHEN CAST('0x' || x AS INTEGER) BETWEEN 32 AND 126 THEN chr(CAST('0x' || x AS INTEGER)) ELSE '.' END), '')"
+    row = f"printf('%08X', 16 * i) || '  ' || rpad(array_to_string({pairs}, ' '), 47, ' ') || '  ' || {shown}"
+    return f"array_to_string(list_transform(range(greatest(CAST(ceil(octet_length(body) / 16) AS BIGINT), 1)), lambda i: {row}), chr(10))"
+
+
+#: The recent past of addresses for times in any order, as a walk over the rows of each address: `f` is the first event that is remembered.
+#: An event leaves when it is at the front and too old, or when more than 1000 are remembered.
+_WALK = f"""
+o AS (SELECT position, ip, coalesce(time, 0) AS t, uri AS u, coalesce(list_filter(headers, lambda x: {_lower("x.key")} = 'user-agent')[1].value, '') AS a,
+  {_any(_lower("split_part(uri, '?', 1)"), STATIC_ENDS, "ends_with")} AS s, row_number() OVER (PARTITION BY ip ORDER BY position) AS i
+  FROM access_log WHERE ip IS NOT NULL AND position IS NOT NULL),
+walk AS (
+  SELECT ip, i, i AS f FROM o WHERE i = 1
+  UNION ALL
+  SELECT n.ip, n.i, (SELECT min(p.i) FROM o p WHERE p.ip = n.ip AND p.i >= greatest(w.f, n.i - 999) AND p.i <= n.i AND p.t >= greatest(n.t - 300, 0)) AS f
+  FROM walk w JOIN o n ON n.ip = w.ip AND n.i = w.i + 1),
+past AS (
+  SELECT n.position, CAST(count(*) FILTER (p.t >= greatest(n.t - 60, 0)) AS DOUBLE) AS ip_req_rate_1m, CAST(count(*) AS DOUBLE) AS ip_req_rate_5m,
+    CAST(count(DISTINCT p.u) AS DOUBLE) AS ip_unique_uris_5m, CAST(count(DISTINCT p.a) AS DOUBLE) AS ip_unique_uas_5m,
+    round(count(*) FILTER (p.s) / count(*), 9) AS ip_static_asset_ratio_5m
+  FROM walk w JOIN o n ON n.ip = w.ip AND n.i = w.i JOIN o p ON p.ip = w.ip AND p.i BETWEEN w.f AND w.i GROUP BY n.position)
+"""
+
 SQL = {name: f"SELECT {_SHOWN} FROM access_log WHERE {c}" for name, c in CONDITIONS.items()} | {
     "s_stored": f"""WITH {VALID} SELECT v.entry_id, v.status, v.ip_hex,
         CASE WHEN starts_with(v.ip_hex, '00000000000000000000ffff') THEN CAST('0x' || substr(v.ip_hex, 25, 8) AS BIGINT) END AS ip4,
@@ -124,6 +158,21 @@ SQL = {name: f"SELECT {_SHOWN} FROM access_log WHERE {c}" for name, c in CONDITI
         array_to_string(list_filter(string_split(coalesce(e.headers, ''), chr(10)), lambda x: contains(x, ':')), chr(10)) AS joined, v.t AS time
         FROM valid v JOIN request_entries e ON e.entry_id = v.entry_id""",
     "s_blocks": 'SELECT block_start, count(*) AS n, min(position) AS "first", max(position) AS "last" FROM access_log GROUP BY block_start',
+    "s_json_lines": f"""WITH {VALID} SELECT v.status, v.method, v.uri, v.ip_hex, v.port, v.t AS time, e.host,
+        CAST(CASE e.proto WHEN 'Unknown' THEN 0 WHEN 'Http' THEN 1 ELSE 2 END AS INTEGER) AS proto, e.location, lower(hex(e.body)) AS body_hex
+        FROM valid v JOIN request_entries e ON e.entry_id = v.entry_id WHERE v.entry_id % 97 <> 0""",
+    "s_labels": """SELECT CAST(row_number() OVER (ORDER BY min(label_pos)) - 1 AS INTEGER) AS label_pos, position, arg_min(label, label_pos) AS label
+        FROM position_labels WHERE label IS NOT NULL AND position IS NOT NULL GROUP BY position""",
+    "k_seal": f"""WITH {VALID} SELECT p // 1000 * 1000 AS block_start, count(*) AS n, CASE WHEN count(*) = 1000 THEN 'sealed' ELSE 'flushed' END AS how
+        FROM (SELECT row_number() OVER (ORDER BY entry_id) - 1 AS p FROM valid) GROUP BY 1""",
+    "k_merge_blocks": """SELECT p - p % 1000 AS block_start, count(*) AS n, min(t) AS "from", max(t) AS "to", count(DISTINCT p) AS positions FROM (
+        SELECT row_number() OVER (ORDER BY coalesce(time, 0), status < 300, position) - 1 AS p, coalesce(time, 0) AS t FROM access_log) GROUP BY 1""",
+    "p_display": f"""SELECT position, status, method, uri, ua, referer, CASE WHEN ip4 IS NOT NULL
+          THEN concat_ws('.', ip4 // 16777216, ip4 // 65536 % 256, ip4 // 256 % 256, ip4 % 256) ELSE {_short(_ADDRESS)} END AS ip, port,
+        strftime(make_timestamp(time * 1000000), '%Y-%m-%d %H:%M:%S') AS time, hex(body) AS body,
+        array_to_string(list_transform(headers, lambda h: h.key || ':' || h.value), chr(10)) AS headers, host, proto, location,
+        lower(array_to_string(list_transform(range(16), lambda i: substr(hex(tls_fp), 31 - 2 * i, 2)), '')) AS tls_fp FROM access_log""",
+    "p_hex_view": f"SELECT position, {_dump()} AS dump FROM access_log WHERE body IS NOT NULL",
     "p_headers_split": """SELECT entry_id, CAST(i - 1 AS INTEGER) AS at, substr(l[i], 1, strpos(l[i], ':') - 1) AS key, substr(l[i], strpos(l[i], ':') + 1) AS "value"
         FROM (SELECT entry_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT entry_id,
           list_filter(string_split(coalesce(headers, ''), chr(10)), lambda x: contains(x, ':')) AS l FROM request_entries))""",
@@ -138,6 +187,13 @@ SQL = {name: f"SELECT {_SHOWN} FROM access_log WHERE {c}" for name, c in CONDITI
     "l_prev": f"""SELECT {_SHOWN} FROM access_log WHERE {_PAGE} AND position >= coalesce((SELECT position FROM access_log WHERE {_PAGE} AND position < 500
         ORDER BY position DESC LIMIT 1 OFFSET 6), 0) ORDER BY position LIMIT 20""",
     "l_tail": f"SELECT {_SHOWN} FROM (SELECT * FROM access_log WHERE {_PAGE} ORDER BY position DESC LIMIT 20)",
+    "l_moves": """SELECT * FROM (WITH e AS (SELECT greatest(max(position) + 1 - 20, 0) AS l FROM access_log) SELECT 'by_30' AS move, least(130, l) AS start, 130 >= l AS ended FROM e
+        UNION ALL SELECT 'by_-500', CAST(0 AS BIGINT), 0 >= l FROM e UNION ALL SELECT 'by_huge', l, true FROM e UNION ALL SELECT 'to_7', least(7, l), 7 >= l FROM e UNION ALL SELECT 'to_end', l, true FROM e)""",
+    "l_set_filter": f"SELECT {_SHOWN} FROM access_log WHERE method = 'POST' AND NOT (status = 200) AND position >= 500 ORDER BY position LIMIT 20",
+    "r_commands": """SELECT CAST(no AS BIGINT) AS no, reply, n FROM (SELECT 0 AS no, 'Attached' AS reply, (SELECT count(*) FROM access_log WHERE position >=
+          (SELECT greatest((max(position) + 1) // 1000 * 1000 - 300, 0) FROM access_log)) AS n
+        UNION ALL SELECT 1, 'Rows', (SELECT count(*) FROM access_log WHERE position >= 1000 AND position < 1500)
+        UNION ALL SELECT 2, 'Detached', 0 UNION ALL SELECT 3, 'Error', 0 UNION ALL SELECT 4, 'Error', 0 UNION ALL SELECT 5, 'Error', 0)""",
     "r_range": f"SELECT {_SHOWN} FROM access_log WHERE position >= 1000 AND position < 1500",
     "r_backlog": f"SELECT {_SHOWN} FROM access_log WHERE position >= (SELECT greatest((max(position) + 1) // 1000 * 1000 - 300, 0) FROM access_log)",
     "r_sync": """SELECT CAST((max(position) + 1) // 1000 * 1000 AS BIGINT) AS start, CAST(1000 AS BIGINT) AS block_size, CAST(0 AS BIGINT) AS first_block,
@@ -149,13 +205,24 @@ SQL = {name: f"SELECT {_SHOWN} FROM access_log WHERE {c}" for name, c in CONDITI
         CAST(len(l) AS DOUBLE) AS ip_req_rate_5m, CAST(len(list_distinct(list_transform(l, lambda x: x.u))) AS DOUBLE) AS ip_unique_uris_5m,
         CAST(len(list_distinct(list_transform(l, lambda x: x.a))) AS DOUBLE) AS ip_unique_uas_5m,
         round(len(list_filter(l, lambda x: x.s)) / len(l), 9) AS ip_static_asset_ratio_5m FROM r""",
+    "w_ip_stats_any_order": f"WITH RECURSIVE {_WALK} SELECT * FROM past",
+    "t_ip_stats": f"WITH RECURSIVE {_WALK} SELECT * FROM past",
+    "x_features_all": f"WITH RECURSIVE {_LOG}, {_WALK}, st AS (SELECT position, {_features()} FROM h1) SELECT * FROM st JOIN past USING (position)",
     "x_features_static": f"WITH {_LOG} SELECT position, {_features()} FROM h1",
     "a_label_join": """SELECT l.label_pos, l.position, l.label, a.status, a.uri FROM position_labels l JOIN access_log a ON a.position = l.position
         WHERE l.label IS NOT NULL""",
+    "a_votes": f"""WITH {_LOG}, st AS (SELECT position, {_features()} FROM h1)
+        SELECT position, round((CASE WHEN uri_length <= 20 THEN CASE WHEN status_is_error <= 0.5 THEN 0 ELSE 1 END ELSE 1 END
+          + CASE WHEN header_count <= 3 THEN 1 ELSE CASE WHEN method_get <= 0.5 THEN 1 ELSE 0 END END
+          + CASE WHEN has_ua <= 0.5 THEN 1 ELSE CASE WHEN ua_len <= 30 THEN 1 ELSE 0 END END) / 3, 9) AS score FROM st""",
     "a_verdict": """SELECT position, CASE WHEN s >= 0.75 THEN 'bot' WHEN s <= 0.25 THEN 'human' ELSE 'uncertain' END AS verdict,
         CASE WHEN s >= 0.7 THEN 'bot' WHEN s <= 0.3 THEN 'human' ELSE 'uncertain' END AS narrow,
         CASE WHEN s >= 0.75 THEN 'human' WHEN s <= 0.25 THEN 'bot' ELSE 'uncertain' END AS inverted
         FROM (SELECT position, CAST(position * 37 % 101 AS DOUBLE) / 100 AS s FROM access_log)""",
     "t_positions": f"""WITH {VALID} SELECT row_number() OVER (ORDER BY entry_id) - 1 AS position,
         (row_number() OVER (ORDER BY entry_id) - 1) // 10000 * 10000 AS block_start, status, uri, ip_hex FROM valid""",
+    "t_resume": f"""WITH {VALID} SELECT row_number() OVER (ORDER BY entry_id) - 1 AS position,
+        (row_number() OVER (ORDER BY entry_id) - 1) // 1000 * 1000 AS block_start, uri, ip_hex FROM valid""",
+    "t_attach": f"""WITH {VALID}, p AS (SELECT row_number() OVER (ORDER BY entry_id) - 1 AS position, uri FROM valid)
+        SELECT * FROM p WHERE position >= (SELECT greatest(count(*) // 1000 * 1000 - 300, 0) FROM p)""",
 }

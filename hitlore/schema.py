@@ -6,6 +6,8 @@ from pyspark.sql import types as T
 
 #: Rows of a live block, rows of a merged block.
 BLOCK_ROWS, MERGED_ROWS = 10_000, 100_000
+#: The format version that is written; what it lacks of a later one is not known here.
+VERSION = 6
 PROTOCOL_NUMBERS = {"Unknown": 0, "Http": 1, "Https": 2}
 
 #: A request as JSON. body is a list of bytes or text; tls_fingerprint is a number that may need 39 digits.

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +18,7 @@ LOCAL_CONF = {
     "spark.driver.host": "127.0.0.1",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.maxMetadataStringLength": "2000",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -31,30 +33,52 @@ def local_session(cores: str = "8", memory: str = "8g", **conf: str) -> SparkSes
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session; a temporary one only where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir of the session; where that is unset, a temporary one in local mode and an
+    error on a cluster, whose nodes would each have a folder of their own."""
     given = spark.conf.get("spark.checkpoint.dir", "")
     if given:
         return given
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set: on a cluster it has to name a folder that all nodes share")
     if not os.environ.get("HITLORE_SHARED"):
         os.environ["HITLORE_SHARED"] = tempfile.mkdtemp(prefix="hitlore-")
     return "file://" + os.environ["HITLORE_SHARED"]
 
 
-def cut(df: DataFrame, *, placed: bool = False) -> DataFrame:
+def hadoop_path(spark: SparkSession, path: str):
+    """The file system of a path and the path, as Hadoop's objects."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def place(spark: SparkSession, name: str, *, keep: bool = False) -> str:
+    """A new folder in the shared one, deleted when the application ends unless keep says otherwise."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if not keep:
+        fs, where = hadoop_path(spark, path)
+        fs.deleteOnExit(where)
+    return path
+
+
+def cut(df: DataFrame) -> DataFrame:
     """The rows of df, written once to the shared folder.
 
-    An executor that is lost later takes nothing with it, because the files do not belong to it. placed=True also keeps what
-    is known of the placement of the rows, so that joins and aggregations on the same keys need no exchange; an adaptive plan
-    does not tell its placement, so this one is made without.
+    An executor that is lost later takes nothing with it, because the files do not belong to it.
     """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    if not placed:
-        return df.checkpoint(eager=True)
-    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        return df.select("*").checkpoint(eager=True)
-    finally:
-        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    return df.checkpoint(eager=True)
+
+
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """The rows of df, written once to the shared folder in buckets of key, each sorted by it.
+
+    Joins and aggregations by key of what is returned need no exchange. There are as many buckets as shuffle partitions.
+    """
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"hitlore_{uuid.uuid4().hex}"
+    placed = df.repartition(buckets, key)
+    placed.write.bucketBy(buckets, key).sortBy(key).option("path", place(spark, name)).saveAsTable(name)
+    return spark.table(name)

@@ -2,66 +2,117 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from hitlore.filterlang import compile_filter
+from hitlore import sinks
+from hitlore.filterlang import where
 from hitlore.operators import ipstats
 from hitlore.operators.positions import numbered
-from hitlore.schema import BLOCK_ROWS, COLUMNS
-from hitlore.session import shared_folder
+from hitlore.schema import BLOCK_ROWS, COLUMNS, STORED
+from hitlore.session import hadoop_path, place
 from hitlore.sources.entries import stored_rows
 from hitlore.sources.requests import valid_rows
 
 
-def place(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared one."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+_LIVE = T.StructType([*STORED.fields, T.StructField("block_start", T.LongType()), T.StructField("batch", T.LongType())])
 
 
 def stream(spark: SparkSession, path: str, *, files_at_once: int = 64) -> DataFrame:
     """A stream over Parquet files as they arrive in a folder (or over one file); at most `files_at_once` a batch, which is
     the back-pressure."""
     reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_at_once)
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).isFile(where):
-        return reader.option("pathGlobFilter", where.getName()).parquet(where.getParent().toString())
+    fs, at = hadoop_path(spark, path)
+    if fs.isFile(at):
+        return reader.option("pathGlobFilter", at.getName()).parquet(at.getParent().toString())
     return reader.parquet(path)
 
 
+def _noted(spark: SparkSession, path: str) -> int | None:
+    """The number in a small file, None where there is no file."""
+    fs, where = hadoop_path(spark, path)
+    if not fs.exists(where):
+        return None
+    file = fs.open(where)
+    try:
+        return int(file.readLine())
+    finally:
+        file.close()
+
+
+def _note(spark: SparkSession, path: str, number: int) -> None:
+    fs, where = hadoop_path(spark, path)
+    file = fs.create(where, True)
+    file.writeBytes(str(number))
+    file.close()
+
+
 def ingest(entries: DataFrame, out: str, checkpoint: str, *, block_rows: int = BLOCK_ROWS):
     """Start storing a stream of request_entries rows with dense positions in the order of entry_id within each batch.
 
-    A batch writes a folder of its own, replaced if the batch is run again, and begins after the largest position of the
-    batches before it: a restart from the checkpoint continues without gap or repetition.
+    A batch writes a folder of its own, replaced if the batch is run again, and a note of the end of the log after it, which is
+    where the next one begins: a restart from the checkpoint continues without gap or repetition, and no batch reads what was
+    stored before.
     """
 
     def store(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        before = 0
-        try:
-            stored = spark.read.option("basePath", out).parquet(out).where(F.col("batch") < number)
-            before = stored.agg(F.coalesce(F.max("position") + 1, F.lit(0)).alias("n")).first().n
-        except Exception as e:  # the first batch finds no folder
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
+        before = _noted(spark, f"{out}/_ends/{number - 1}") or 0
         rows = numbered(stored_rows(valid_rows(batch)), ["entry_id"], start=before)
         placed = rows.withColumn("block_start", F.col("position") - F.col("position") % block_rows)
         placed.select(*COLUMNS, "block_start").write.mode("overwrite").parquet(f"{out}/batch={number}")
+        _note(spark, f"{out}/_ends/{number}", before + spark.read.parquet(f"{out}/batch={number}").count())
 
     return entries.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def end_of(spark: SparkSession, out: str) -> int:
+    """The end of a live log, from the notes of its batches."""
+    fs, where = hadoop_path(spark, f"{out}/_ends")
+    numbers = [int(f.getPath().getName()) for f in fs.listStatus(where)] if fs.exists(where) else []
+    return _noted(spark, f"{out}/_ends/{max(numbers)}") if numbers else 0
+
+
+def live_rows(spark: SparkSession, out: str) -> DataFrame:
+    return spark.read.schema(_LIVE).option("basePath", out).parquet(out).drop("batch")
+
+
+def seal(spark: SparkSession, out: str, store: str, *, block_rows: int = BLOCK_ROWS, flush: bool = False) -> int:
+    """Write the full blocks of a live log that are not sealed yet to a stored log, with flush the open block as well; how many rows.
+
+    What a flush has sealed of a block stays; the block goes on with the rows after it. Nothing to seal is no error. Stop a
+    stream, wait for its batch and flush to shut down without loss.
+    """
+    sealed, end = _noted(spark, f"{store}/_sealed") or 0, end_of(spark, out)
+    beyond = end if flush else end - end % block_rows
+    if beyond <= sealed:
+        return 0
+    rows = live_rows(spark, out).where((F.col("position") >= sealed) & (F.col("position") < beyond))
+    sinks.write_blocks(rows, store, block_rows=block_rows)
+    _note(spark, f"{store}/_sealed", beyond)
+    return beyond - sealed
+
+
+def attach(spark: SparkSession, out: str, *, block_rows: int = BLOCK_ROWS, backlog: int = 1000) -> DataFrame:
+    """A live log as a stream that begins with the open block and at least `backlog` rows before it, and goes on with what comes."""
+    end = end_of(spark, out)
+    first = max(end - end % block_rows - backlog, 0)
+    return spark.readStream.schema(_LIVE).option("basePath", out).parquet(out).where(F.col("position") >= first).drop("batch")
+
+
 def follow(log: DataFrame, f, out: str, checkpoint: str, *, now: int | None = None):
-    """Start writing the rows of a live log that a filter keeps. Relative times refer to `now`, by default the start."""
-    kept = log.where(compile_filter(f, now=now))
-    return kept.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Start writing the rows of a live log that a filter keeps. Relative times refer to `now`, by default the time of each batch."""
+
+    def keep(batch: DataFrame, number: int) -> None:
+        where(batch, f, now=now).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return log.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 _STATE = "times array<bigint>, uris array<bigint>, agents array<bigint>, statics array<boolean>"

@@ -106,6 +106,7 @@ def test_json_refuses():
 
 def test_final_dollar_is_the_end():
     assert java_regex("a$") == r"(?U)a\z" and java_regex(r"a\$") == r"(?U)a\$" and java_regex(r"a\\$") == r"(?U)a\\\z"
+    assert java_regex("(a$)|b[$]") == r"(?U)(a\z)|b[$]" and java_regex("a.b") == "(?Ud)a.b" and java_regex("(?m)a$") == "(?Ud)(?m)a$"
 
 
 SCHEMA = """position long, status int, method string, uri string, ip4 long, port int, time long, headers array<struct<key:string,value:string>>,

@@ -85,6 +85,33 @@ def test_display_forms(spark):
     assert row.d.splitlines()[0].startswith("00000000  00 01 41") and row.d.splitlines()[1].startswith("00000010  41 41") and row.f.endswith("0100")
 
 
+def test_fingerprints_are_reversed_by_bytes(spark):
+    raw = bytes(range(120, 136)) * 2  # bytes that are no UTF-8
+    assert spark.createDataFrame([(raw,)], "b binary").select(text.fingerprint_hex(F.col("b")).alias("f")).first().f == raw[::-1].hex()
+
+
+def test_newer_blocks_are_refused(spark, tmp_path):
+    sinks.write_blocks(log(spark, [stored(0)]), str(tmp_path / "b"), version=99)
+    with pytest.raises(Exception, match="block of version 99"):
+        sinks.read_blocks(spark, str(tmp_path / "b")).collect()
+
+
+def test_seal_and_flush(spark, tmp_path):
+    source, out, state, store = (str(tmp_path / x) for x in ("in", "out", "state", "store"))
+    columns = "entry_id long, status int, method string, uri string, ip string, port int, time long, body binary, headers string, host string, proto string, location string, tls_fingerprint string"
+    positions = lambda: sorted(r.position for r in sinks.read_blocks(spark, store).collect())
+    assert ingest.seal(spark, out, store, block_rows=10, flush=True) == 0  # nothing yet
+    for at, want in ((0, 20), (25, 50)):
+        rows = [(i, 200, "GET", f"/{i}", "1.2.3.4", 1, i, None, "a:b", "h", "Http", None, "7") for i in range(at, at + 25)]
+        spark.createDataFrame(rows, columns).coalesce(1).write.mode("append").parquet(source)
+        ingest.ingest(ingest.stream(spark, source), out, state, block_rows=10).awaitTermination()
+        ingest.seal(spark, out, store, block_rows=10)
+        assert positions() == list(range(want))
+    assert ingest.end_of(spark, out) == 50 and ingest.seal(spark, out, store, block_rows=10, flush=True) == 0
+    got = ingest.to_table(ingest.attach(spark, out, block_rows=20, backlog=5).select("position"), "attached")
+    assert sorted(r.position for r in got.collect()) == list(range(35, 50))
+
+
 def test_headers_split_and_join(spark):
     raw = ["a:b\nc:d:e\nnone\n:x\ny:", "", None, "no"]
     got = spark.createDataFrame([(r,) for r in raw], "r string").select(text.split_headers(F.col("r")).alias("h")).collect()
