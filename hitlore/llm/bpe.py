@@ -4,7 +4,8 @@ Splitting a text into pieces is a JVM expression; the merges of the distinct pie
 time. Each piece has a segment tree over its byte positions whose node holds the leftmost minimum of the ranks of the live
 pairs below it. The root names the next merge; a merge joins a position with its live right neighbour and updates the at most
 three leaves it touches, in logarithmically many nodes each. Pieces of about the same length are rows of one array, so one
-step merges once in every piece that has a merge left.
+step merges once in every piece that has a merge left. In a long piece a step merges all places of the lowest rank at once,
+which are found by going down the tree: a pair with a token that a merge has made has a higher rank than that merge.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ _W = r"\p{IsWhite_Space}"
 SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_W}\p{{L}}\p{{N}}]+|{_W}+(?![^{_W}])|{_W}+"
 #: Pieces in the memory of a worker, pieces encoded at once, bytes of a tree array at once.
 KEPT, AT_ONCE, TREE_CELLS = 300_000, 200_000, 4_000_000
+#: Pieces from this width on are encoded one by one.
+LONG = 2048
 _NONE = np.iinfo(np.int64).max
 
 
@@ -121,6 +124,49 @@ def _encode_rows(pieces: list[bytes], width: int, merges: Merges) -> list[np.nda
     return np.split(flat, np.cumsum(counts)[:-1])
 
 
+def _encode_long(piece: bytes, width: int, merges: Merges) -> np.ndarray:
+    """Token ids of one piece of at most `width` bytes, width a power of two."""
+    n = len(piece)
+    ids = np.zeros(width + 1, np.int32)
+    ids[:n] = merges.byte_ids[np.frombuffer(piece, np.uint8)]
+    after, before, alive = np.arange(1, width + 2), np.arange(-1, width), np.zeros(width, bool)
+    after[n - 1], alive[:n] = width, True
+
+    def leaf(at: np.ndarray) -> np.ndarray:
+        right = after[at]
+        rank = merges.rank(ids[at], ids[right])
+        return np.where((right < width) & (rank != _NONE), np.where(rank != _NONE, rank, 0) * width + at, _NONE)
+
+    tree = np.full(2 * width, _NONE)
+    tree[width : width + n] = leaf(np.arange(n))
+    level = width
+    while level > 1:
+        tree[level // 2 : level] = np.minimum(tree[level : 2 * level : 2], tree[level + 1 : 2 * level : 2])
+        level //= 2
+    while tree[1] != _NONE:
+        rank = tree[1] // width
+        nodes = np.ones(1, np.int64)
+        while nodes[0] < width:
+            below = np.stack([2 * nodes, 2 * nodes + 1], axis=1).ravel()
+            nodes = below[tree[below] // width == rank]
+        at = nodes - width
+        # Places that share a token: every second of a row of them, from the left.
+        linked = np.concatenate([[False], after[at[:-1]] == at[1:]])
+        place = np.arange(len(at))
+        at = at[(place - np.maximum.accumulate(np.where(linked, 0, place))) % 2 == 0]
+        right = after[at]
+        beyond = after[right]
+        ids[at], after[at], before[beyond], alive[right] = merges.made[rank], beyond, at, False
+        left = before[at]
+        changed = np.unique(np.concatenate([at, left[left >= 0]]))
+        tree[right + width], tree[changed + width] = _NONE, leaf(changed)
+        nodes = np.unique(np.concatenate([right, changed]) + width)
+        while nodes[0] > 1:
+            nodes = np.unique(nodes >> 1)
+            tree[nodes] = np.minimum(tree[2 * nodes], tree[2 * nodes + 1])
+    return ids[:width][alive]
+
+
 def encode_pieces(pieces: list[bytes], merges: Merges) -> list[np.ndarray]:
     """Token ids of each piece. No piece is empty."""
     out: list[np.ndarray] = [None] * len(pieces)
@@ -128,6 +174,10 @@ def encode_pieces(pieces: list[bytes], merges: Merges) -> list[np.ndarray]:
     for i, piece in enumerate(pieces):
         classes.setdefault(max(2, 1 << (len(piece) - 1).bit_length()), []).append(i)
     for width, members in classes.items():
+        if width >= LONG:
+            for i in members:
+                out[i] = _encode_long(pieces[i], width, merges)
+            continue
         step = max(1, TREE_CELLS // width)
         for at in range(0, len(members), step):
             some = members[at : at + step]

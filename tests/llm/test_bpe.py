@@ -60,3 +60,13 @@ def test_memory_of_pieces_is_bounded(monkeypatch):
     for i in range(30):
         encoder.encode(pa.array([f"w{i}", f"x{i}", "same"]))
         assert len(encoder.known) <= 13
+
+
+def test_long_pieces_one_by_one_are_those_of_rows():
+    import numpy as np
+
+    rng, merges = random.Random(2), bpe.Merges.load()
+    letters = bytes(rng.choice(b"abcdefghijklmnopqrstuvwxyz") for _ in range(700))
+    for piece in (b"a" * 999, b"aaab" * 300, b"hahaha" * 100 + b"xy", letters, bytes(rng.randrange(256) for _ in range(600)), ("über" * 150).encode(), b"ab"):
+        width = max(2, 1 << (len(piece) - 1).bit_length())
+        assert np.array_equal(bpe._encode_long(piece, width, merges), bpe._encode_rows([piece], width, merges)[0])
