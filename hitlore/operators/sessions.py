@@ -6,75 +6,54 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def sessions(events: DataFrame, *, gap: int = 1800, chunk: int = 3600) -> DataFrame:
-    """entity, start, end, duration, n, items: one row per visit; items is the exact number of distinct items in it.
+def sessions(events: DataFrame, *, gap: int = 1800, chunk: int = 3600, items: bool = True) -> DataFrame:
+    """entity, start, end, duration, n and, unless items is False, items: one row per visit; items is the exact number of distinct
+    items in it.
 
     events has the columns entity, time (epoch seconds) and item. A new visit begins when more than `gap` seconds have
     passed since the entity's preceding event.
 
-    Method: time is divided into chunks. Each entity's chunk gives local visits, so one task never holds more of a busy
-    entity than a chunk; the local visits, at most chunk/gap + 1 of a chunk, are then merged where the gap over the
-    boundary is no longer than `gap`. Distinct items of a visit within one chunk are final in that chunk; only visits that
-    cross a boundary have their items counted again over all their parts.
+    Method: events are placed by entity and second and counted there, so a chunk of time holds at most as many counts as
+    seconds, however busy an entity is. Each entity's chunk gives local visits, at most chunk/gap + 1, which are then merged
+    where the gap over the boundary is no longer than `gap`. Distinct items are counted over the seconds of a visit, item by
+    item, so that no task holds the items of a busy visit.
 
     Defined cases: events with NULL entity or time are left out; a NULL item is counted as an event, not as an item; equal
     times are in one visit; repeated rows are separate events (make them distinct before, if they are one); further columns
     are ignored; an empty table gives no rows.
     """
-    own = (
-        events.where(F.col("entity").isNotNull() & F.col("time").isNotNull())
-        .select("entity", "time", "item")
-        .withColumn("chunk", F.floor(F.col("time") / chunk))
-        .repartition("entity", "chunk")
-    )
-    return merge_local(local_visits(own, gap), gap)
-
-
-def local_visits(placed: DataFrame, gap: int) -> DataFrame:
-    """entity, chunk, local_start, item, n, lo, hi: the items of each local visit. placed is placed by entity and chunk."""
+    own = events.where(F.col("entity").isNotNull() & F.col("time").isNotNull()).select("entity", "time", "item").repartition("entity", "time")
+    return of_placed(own, gap=gap, chunk=chunk, items=items)
+
+
+def of_placed(placed: DataFrame, *, gap: int = 1800, chunk: int = 3600, items: bool = True) -> DataFrame:
+    """sessions of events that are placed by entity and time already, with neither of them NULL."""
+    local = local_visits(placed.groupBy("entity", "time").agg(F.count(F.lit(1)).alias("n")), gap, chunk)
+    chained = merged(local.groupBy("entity", "chunk", "local_start").agg(F.max("time").alias("local_end"), F.sum("n").alias("n")), gap)
+    visits = chained.groupBy("entity", "start").agg(F.max("local_end").alias("end"), F.sum("n").alias("n"))
+    shown = ["entity", "start", "end", (F.col("end") - F.col("start")).alias("duration"), "n"]
+    if not items:
+        return visits.select(*shown)
+    of_second = local.join(chained, ["entity", "chunk", "local_start"]).select("entity", "time", "start")
+    distinct = placed.where(F.col("item").isNotNull()).join(of_second, ["entity", "time"]).select("entity", "start", "item").distinct()
+    counted = distinct.groupBy("entity", "start").agg(F.count(F.lit(1)).alias("items"))
+    return visits.join(counted, ["entity", "start"], "left").select(*shown, F.coalesce("items", F.lit(0)).alias("items"))
+
+
+def local_visits(seconds: DataFrame, gap: int, chunk: int) -> DataFrame:
+    """entity, chunk, time, n, local_start: for each second with events the start of its visit within the chunk."""
+    parted = seconds.withColumn("chunk", F.floor(F.col("time") / chunk))
     inside = Window.partitionBy("entity", "chunk").orderBy("time")
     before = F.lag("time").over(inside)
-    marked = placed.withColumn("begins", F.when(before.isNull() | (F.col("time") - before > gap), F.col("time")))
-    known = marked.withColumn("local_start", F.last("begins", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    return known.groupBy("entity", "chunk", "local_start", "item").agg(
-        F.count(F.lit(1)).alias("n"), F.min("time").alias("lo"), F.max("time").alias("hi")
-    )
+    marked = parted.withColumn("begins", F.when(before.isNull() | (F.col("time") - before > gap), F.col("time")))
+    start = F.last("begins", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    return marked.select("entity", "chunk", "time", "n", start.alias("local_start"))
 
 
-def merge_local(local: DataFrame, gap: int) -> DataFrame:
-    """Visits from the items of local visits."""
-    parts = local.groupBy("entity", "chunk", "local_start").agg(
-        F.max("hi").alias("local_end"), F.sum("n").alias("n"), F.count("item").alias("items")
-    )
+def merged(local: DataFrame, gap: int) -> DataFrame:
+    """entity, chunk, local_start, local_end, n, start: local visits with the start of the visit they are part of."""
     along = Window.partitionBy("entity").orderBy("local_start")
     before = F.lag("local_end").over(along)
     begins = F.when(before.isNull() | (F.col("local_start") - before > gap), F.col("local_start"))
-    chained = parts.withColumn("begins", begins).withColumn(
-        "start", F.last("begins", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, 0))
-    )
-    visits = chained.groupBy("entity", "start").agg(
-        F.max("local_end").alias("end"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts"), F.max("items").alias("items")
-    )
-    # Visits over several chunks: their items again, counted once over all parts. The residual condition keeps the large
-    # side where it is; an entity's chunk has only a few local visits.
-    crossing = (
-        chained.withColumn("parts", F.count(F.lit(1)).over(Window.partitionBy("entity", "start")))
-        .where(F.col("parts") > 1)
-        .select(F.col("entity").alias("e"), F.col("chunk").alias("c"), F.col("local_start").alias("s"), "start")
-    )
-    again = (
-        local.where(F.col("item").isNotNull())
-        .join(crossing, (F.col("entity") == F.col("e")) & (F.col("chunk") == F.col("c")) & (F.col("local_start") - F.col("s") == 0))
-        .select("entity", "start", "item")
-        .distinct()
-        .groupBy("entity", "start")
-        .agg(F.count(F.lit(1)).alias("over_parts"))
-    )
-    return visits.join(again, ["entity", "start"], "left").select(
-        "entity",
-        "start",
-        "end",
-        (F.col("end") - F.col("start")).alias("duration"),
-        "n",
-        F.when(F.col("parts") > 1, F.coalesce(F.col("over_parts"), F.lit(0))).otherwise(F.col("items")).alias("items"),
-    )
+    start = F.last("begins", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, 0))
+    return local.withColumn("begins", begins).withColumn("start", start).drop("begins")

@@ -93,22 +93,20 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # 5 ------------------------------------------------------------------------------------------------------------------
-def p5_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+def p5_visits(spark: SparkSession, sf_dir: str, *, items: bool = True) -> DataFrame:
     """All visits. Copies are one request: they agree in address and time, so they meet where the visits are built."""
     rows = valid(spark, sf_dir).where(F.col("time") != 0).select(*R.REQUEST_KEY)
-    placed = rows.withColumn("chunk", F.floor(F.col("time") / 3600)).repartition("ip_hex", "chunk")
-    own = placed.distinct().select(F.col("ip_hex").alias("entity"), "chunk", "time", F.col("uri").alias("item"))
-    return sessions.merge_local(sessions.local_visits(own, 1800), 1800)
+    own = rows.repartition("ip_hex", "time").distinct().select(F.col("ip_hex").alias("entity"), "time", F.col("uri").alias("item"))
+    found = sessions.of_placed(own, gap=1800, items=items)
+    return found.withColumnsRenamed({"entity": "ip_hex", "start": "start_time", "end": "end_time"})
 
 
 def p5_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p5_visits(spark, sf_dir).select(
-        F.col("entity").alias("ip_hex"), F.col("start").alias("start_time"), F.col("end").alias("end_time"), "duration", "n", F.col("items").alias("uris")
-    )
+    return p5_visits(spark, sf_dir).withColumnRenamed("items", "uris")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p5_sessions(spark, sf_dir).where(F.col("n") >= 3).select("ip_hex", "start_time", "end_time")
+    return p5_visits(spark, sf_dir, items=False).where(F.col("n") >= 3).select("ip_hex", "start_time", "end_time")
 
 
 # 6 ------------------------------------------------------------------------------------------------------------------
