@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hitlore.session import cut
+
 
 def trailing_totals(daily: DataFrame, periods: Sequence[int] = (7, 30), *, active: bool = False) -> DataFrame:
     """entity, day and, for each period p, total_p and mean_p over the p days that end with day; days without rows count.
@@ -24,13 +26,14 @@ def trailing_totals(daily: DataFrame, periods: Sequence[int] = (7, 30), *, activ
     negative day numbers are allowed; further columns are ignored; an empty table gives no rows.
     """
     width = max(periods)
-    clean = (
+    # Daily rows are few against the input: at most one per entity and day. They are written once and read for the span, for the
+    # chunks and for the totals.
+    clean = cut(
         daily.where(F.col("entity").isNotNull() & F.col("day").isNotNull())
         .groupBy("entity", "day")
         .agg(F.sum(F.coalesce(F.col("n"), F.lit(0))).cast("long").alias("n"))
     )
     bucket = lambda c: F.floor(c / F.lit(width)).cast("int")
-    # Daily rows are few against the input: at most one per entity and day. They are placed by entity once.
     span = clean.groupBy("entity").agg(F.min("day").alias("first"), F.max("day").alias("last"))
     if active:
         near = clean.select("entity", F.explode(F.array(bucket(F.col("day")), bucket(F.col("day")) + 1)).alias("bucket")).distinct()
