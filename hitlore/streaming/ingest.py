@@ -115,9 +115,9 @@ def follow(log: DataFrame, f, out: str, checkpoint: str, *, now: int | None = No
     return log.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-_STATE = "times array<bigint>, uris array<bigint>, agents array<bigint>, statics array<boolean>"
+_STATE = "times array<bigint>, uris array<string>, agents array<string>, statics array<boolean>"
 #: Columns of an arriving row; rows of an address that are worked on at once.
-_KINDS = {"position": "int64", "time": "int64", "u": "int64", "a": "int64", "s": "bool"}
+_KINDS = {"position": "int64", "time": "int64", "u": "object", "a": "object", "s": "bool"}
 PIECE = 10_000
 _OUT = "position bigint, ip binary, " + ", ".join(f"{n} double" for n in ipstats.NAMES)
 
@@ -129,11 +129,8 @@ def _advance(key, batches: Iterator[pd.DataFrame], state: GroupState, most: int,
     memory = ipstats.Recent(most)
     if state.exists:
         for event in zip(*state.get, strict=True):
-            memory.events.append(event)
-            memory.uris[event[1]] += 1
-            memory.agents[event[2]] += 1
-            memory.static += bool(event[3])
-    # Order needs all rows of the batch: 33 bytes each, and an index; what is made of them is made in pieces.
+            memory.remember(*event)
+    # Order needs all rows of the batch; what is made of them is made in pieces.
     columns = {n: [] for n in _KINDS}
     for batch in batches:
         for n, kind in _KINDS.items():
@@ -153,11 +150,11 @@ def _advance(key, batches: Iterator[pd.DataFrame], state: GroupState, most: int,
 def live_ip_stats(log: DataFrame, *, most: int = ipstats.MOST, idle_ms: int | None = None) -> DataFrame:
     """ipstats.exact over a stream: the memory of an address is kept state of at most `most` events.
 
-    The rows that one micro-batch brings of one address are held in one task, as numbers, because they may come in any order.
+    The rows that one micro-batch brings of one address are held in one task, because they may come in any order.
     idle_ms forgets addresses that are silent for so long; None keeps them. Late rows are neither dropped nor moved.
     """
     timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
-    rows = ipstats._prepared(log).where(F.col("position").isNotNull() & F.col("ip").isNotNull()).withColumn("time", F.coalesce("time", F.lit(0).cast("long")))
+    rows = ipstats._prepared(log)
 
     def run(key, batches, state):
         yield from _advance(key, batches, state, most, idle_ms)

@@ -178,6 +178,35 @@ def test_ip_stats_against_a_plain_queue(spark, jitter, most):
     assert ipstats.exact(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("jitter", "most", "seed"), [(0, 30, 1), (400, 30, 2), (4000, 40, 3), (100_000, 25, 4)])
+def test_chunks_of_a_busy_address(spark, jitter, most, seed):
+    """Old events behind young ones keep fronts apart over many chunks."""
+    rng, t, plain, rows = random.Random(seed), 10**6, [], []
+    for p in range(900):
+        t += rng.choice([0, 1, 5, 30])
+        time, ip = t + rng.randrange(-jitter, jitter + 1), rng.choice([b"\1" * 16] * 6 + [b"\2" * 16])
+        plain.append((p, ip, time, f"/{p % 9}", ""))
+        rows.append(stored(p, ip=ip, time=time, uri=f"/{p % 9}"))
+    df = log(spark, rows).repartition(6)
+    assert {r.position: tuple(r)[2:] for r in ipstats.exact(df, most=most, chunk=50).collect()} == plain_stats(plain, most)
+
+
+def test_fronts_are_those_of_a_queue():
+    rng = random.Random(8)
+    for _ in range(60):
+        most, first = rng.randrange(2, 9), rng.randrange(0, 12)
+        first = min(first, most)
+        times = [1000 + rng.randrange(0, 900) for _ in range(first + rng.randrange(1, 25))]
+        pairs = ipstats.fronts(times, first, most)
+        for start in range(max(first - most, 0), first) or [0]:
+            front = start
+            for i in range(first, len(times)):
+                while times[front] < max(times[i] - 300, 0):
+                    front += 1
+                front = max(front, i - most + 1)
+            assert next(after for before, after in pairs if before >= start) == front
+
+
 def test_features_of_the_sample(spark):
     names = ["host", "connection", "user-agent", "accept", "accept-language", "sec-fetch-mode", "pragma", "cache-control", "accept-encoding"]
     values = {"host": "site.example", "accept-language": "*", "user-agent": "Mozilla/5.0 (compatible; ExampleBot/1.0; +https://example.invalid/bot.html)"}
