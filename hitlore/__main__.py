@@ -30,7 +30,7 @@ def train(spark: SparkSession, args: argparse.Namespace) -> None:
 
 def score(spark: SparkSession, args: argparse.Namespace) -> None:
     log = Log.open(spark, args.log)
-    scored = forest.scored(log.features(), forest.trees_of(spark, forest.load(args.model)))
+    scored = forest.scored(log.features(), forest.load(args.model).trees)
     shown = scored.select("position", "score", forest.verdict(F.col("score"), human_max=args.human_max, bot_min=args.bot_min).alias("verdict"))
     beyond = views.end(log.rows) if args.beyond is None else args.beyond
     views.between(shown, args.first, beyond).show(args.rows, truncate=False)

@@ -304,7 +304,7 @@ def _model(spark: SparkSession, sf_dir: str):
 
 def a_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     all_features, model = _model(spark, sf_dir)
-    scored = forest.scored(all_features, forest.trees_of(spark, model))
+    scored = forest.scored(all_features, model.trees)
     return scored.select("position", "score", forest.verdict(F.col("score")).alias("verdict"))
 
 

@@ -238,22 +238,42 @@ def test_forest_votes(spark, tmp_path):
     settings = forest.Settings(trees=15, depth=4)
     model = forest.fit(df, ["a", "b", "c"], settings)
     forest.save(model, str(tmp_path / "m"))
-    trees = forest.trees_of(spark, forest.load(str(tmp_path / "m")))
+    trees = forest.load(str(tmp_path / "m")).trees
     scored = forest.scored(df, trees).collect()
-    x = np.array([(r.a, r.b, r.c) for r in scored])
-    from pyspark.ml.linalg import Vectors
 
-    want = [sum(t.predict(Vectors.dense(v)) for t in model.stages[-1].trees) / 15 for v in x[:40]]
-    assert [r.score for r in scored[:40]] == pytest.approx(want)
+    def vote(node, x):
+        while trees.column[node] >= 0:
+            node = (trees.left if x[trees.column[node]] <= trees.threshold[node] else trees.right)[node]
+        return trees.vote[node]
+
+    want = [sum(vote(root, (r.a, r.b, r.c)) for root in trees.roots) / 15 for r in scored[:40]]
+    assert [r.score for r in scored[:40]] == pytest.approx(want) and len(trees.roots) == 15
+    ends = [*trees.roots[1:], len(trees.column)]
+    for root, end in zip(trees.roots, ends, strict=True):
+        assert len(set(trees.column[root:end]) - {-1}) <= 2  # 60 % of three columns, of each tree its own
+    assert {c for c in trees.column if c >= 0} == {0, 1, 2}
     assert sum((r.score > 0.5) == r.label for r in scored) > 280
     top = max(forest.importance(spark, model).collect(), key=lambda r: r.importance)
     assert top.feature == "a"
 
 
+def test_a_split_is_the_best_there_is():
+    rng = np.random.default_rng(3)
+    x, y, w = np.round(rng.random((40, 3)), 1), (rng.random(40) > 0.4).astype(float), rng.integers(1, 4, 40).astype(float)
+    coded = [np.unique(x[:, i], return_inverse=True) for i in range(3)]
+    examples = forest._Examples([c[0] for c in coded], [c[1] for c in coded], y)
+    gini = lambda rows: 2 * (w * y)[rows].sum() * (w * (1 - y))[rows].sum() / w[rows].sum()
+    whole = gini(np.ones(40, bool))
+    tries = [(whole - gini(x[:, c] <= t) - gini(x[:, c] > t), c, t) for c in range(3) for t in (np.unique(x[:, c])[1:] + np.unique(x[:, c])[:-1]) / 2]
+    gain, column, threshold = forest._best_split(examples, np.arange(40), w, np.arange(3))
+    assert gain == pytest.approx(max(t[0] for t in tries)) and gain == pytest.approx(next(t[0] for t in tries if t[1] == column and t[2] == pytest.approx(threshold)))
+    assert forest._best_split(examples, np.flatnonzero(y == 1), w, np.arange(3)) is None
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_the_registered_verdicts_are_those_of_the_whole_forest(spark):
     _, model = log_queries._model(spark, SF)
-    assert len(forest.trees_of(spark, model).roots) == forest.Settings().trees == 200
+    assert len(model.trees.roots) == forest.Settings().trees == 200
 
 
 def test_labels_and_verdicts(spark):
