@@ -12,8 +12,19 @@ from pyspark.sql import functions as F
 
 from hitlore.functions import text
 from hitlore.operators import ipstats
-from hitlore.sources.entries import PROFILES
 
+#: The header order of three common browsers.
+PROFILES = {
+    "chrome_desktop": (
+        "host", "connection", "sec-ch-ua", "sec-ch-ua-mobile", "sec-ch-ua-platform", "upgrade-insecure-requests", "user-agent",
+        "accept", "sec-fetch-site", "sec-fetch-mode", "sec-fetch-user", "sec-fetch-dest", "accept-encoding", "accept-language",
+    ),
+    "firefox_desktop": (
+        "host", "user-agent", "accept", "accept-language", "accept-encoding", "connection", "upgrade-insecure-requests",
+        "sec-fetch-dest", "sec-fetch-mode", "sec-fetch-site", "sec-fetch-user",
+    ),
+    "safari_desktop": ("host", "accept", "sec-fetch-site", "accept-encoding", "accept-language", "user-agent", "connection"),
+}
 #: Headers that most browsers send.
 COMMON = ("accept", "accept-language", "accept-encoding", "user-agent", "connection")
 #: The names of the numbers a row gives, in their order.

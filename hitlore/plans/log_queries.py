@@ -12,6 +12,7 @@ from hitlore.filterlang import from_json, where
 from hitlore.filterlang.ast import Field, Text
 from hitlore.functions import text
 from hitlore.operators import forest, ipstats, merge, reqfeatures, views
+from hitlore.plans import fixtures
 from hitlore.session import cut, place
 from hitlore.sources import entries, requests
 from hitlore.sources.requests import load
@@ -275,7 +276,7 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 def w_ip_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Over the log made of events, whose times follow the positions."""
-    return _rounded(ipstats.ordered(entries.events_log(load(spark, sf_dir, "events"), dense=True)).drop("ip"))
+    return _rounded(ipstats.ordered(fixtures.events_log(load(spark, sf_dir, "events"), dense=True)).drop("ip"))
 
 
 def w_ip_stats_any_order(spark: SparkSession, sf_dir: str) -> DataFrame:

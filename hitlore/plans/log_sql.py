@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from hitlore.functions.text import BROWSER_PARTS, STATIC_ENDS, SUSPICIOUS_PARTS
-from hitlore.operators.reqfeatures import COMMON, STATIC_NAMES
+from hitlore.operators.reqfeatures import COMMON, PROFILES, STATIC_NAMES
 from hitlore.plans.log_queries import KNOWN, NOW
 from hitlore.plans.requests_sql import VALID
-from hitlore.sources.entries import PROFILES
 
 _SHOWN = "position, status, method, uri"
 

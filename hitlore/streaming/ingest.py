@@ -17,7 +17,7 @@ from hitlore.operators import ipstats
 from hitlore.operators.positions import numbered
 from hitlore.schema import BLOCK_ROWS, COLUMNS, STORED
 from hitlore.session import hadoop_path, place
-from hitlore.sources.entries import stored_rows
+from hitlore.sources.entries import parsed, stored_rows
 from hitlore.sources.requests import valid_rows
 
 
@@ -34,6 +34,13 @@ def stream(spark: SparkSession, path: str, *, files_at_once: int = 64) -> DataFr
     return reader.parquet(path)
 
 
+def lines(spark: SparkSession, source: str, **options: str) -> DataFrame:
+    """A stream of the well-formed requests that arrive as JSON lines from a socket (host, port) or Kafka (kafka.bootstrap.servers,
+    subscribe), in the columns of request_entries; other lines are skipped."""
+    read = spark.readStream.format(source).options(**options).load().select(F.col("value").cast("string").alias("value"))
+    return parsed(read, "value").drop("value")
+
+
 def _noted(spark: SparkSession, path: str) -> int | None:
     """The number in a small file, None where there is no file."""
     fs, where = hadoop_path(spark, path)
@@ -53,8 +60,9 @@ def _note(spark: SparkSession, path: str, number: int) -> None:
     file.close()
 
 
-def ingest(entries: DataFrame, out: str, checkpoint: str, *, block_rows: int = BLOCK_ROWS):
-    """Start storing a stream of request_entries rows with dense positions in the order of entry_id within each batch.
+def ingest(entries: DataFrame, out: str, checkpoint: str, *, block_rows: int = BLOCK_ROWS, once: bool = True):
+    """Start storing a stream of request_entries rows with dense positions, within each batch in the order of entry_id, or as the
+    source gives them where there is none. once=False goes on until it is stopped.
 
     A batch writes a folder of its own, replaced if the batch is run again, and a note of the end of the log after it, which is
     where the next one begins: a restart from the checkpoint continues without gap or repetition, and no batch reads what was
@@ -64,12 +72,21 @@ def ingest(entries: DataFrame, out: str, checkpoint: str, *, block_rows: int = B
     def store(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         before = _noted(spark, f"{out}/_ends/{number - 1}") or 0
-        rows = numbered(stored_rows(valid_rows(batch)), ["entry_id"], start=before)
+        known = batch if "entry_id" in batch.columns else batch.withColumn("entry_id", F.monotonically_increasing_id())
+        rows = numbered(stored_rows(valid_rows(known)), ["entry_id"], start=before)
         placed = rows.withColumn("block_start", F.col("position") - F.col("position") % block_rows)
         placed.select(*COLUMNS, "block_start").write.mode("overwrite").parquet(f"{out}/batch={number}")
         _note(spark, f"{out}/_ends/{number}", before + spark.read.parquet(f"{out}/batch={number}").count())
 
-    return entries.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    writer = entries.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def stop(query, spark: SparkSession, out: str, store: str, *, block_rows: int = BLOCK_ROWS) -> int:
+    """Shut an ingest down: what has arrived is stored, the stream ends, and the open block is flushed."""
+    query.processAllAvailable()
+    query.stop()
+    return seal(spark, out, store, block_rows=block_rows, flush=True)
 
 
 def end_of(spark: SparkSession, out: str) -> int:

@@ -112,6 +112,31 @@ def test_seal_and_flush(spark, tmp_path):
     assert sorted(r.position for r in got.collect()) == list(range(35, 50))
 
 
+def test_lines_of_a_socket_until_it_is_stopped(spark, tmp_path):
+    import socket
+    import threading
+
+    server = socket.create_server(("127.0.0.1", 0))
+    sent = [json.dumps(SAMPLE | {"uri": f"/{i}"}) for i in range(25)] + ["broken", json.dumps(SAMPLE | {"time": 2**64}), json.dumps(SAMPLE | {"uri": "/last", "time": None})]
+
+    def serve():
+        connection, _ = server.accept()
+        connection.sendall(("\n".join(sent) + "\n").encode())
+
+    threading.Thread(target=serve, daemon=True).start()
+    live, store = str(tmp_path / "live"), str(tmp_path / "store")
+    rows = ingest.lines(spark, "socket", host="127.0.0.1", port=str(server.getsockname()[1]))
+    query = ingest.ingest(rows, live, str(tmp_path / "state"), block_rows=10, once=False)
+    for _ in range(300):
+        if ingest.end_of(spark, live) == 26:
+            break
+        query.awaitTermination(0.1)
+    assert ingest.stop(query, spark, live, store, block_rows=10) == 26 and not query.isActive
+    got = sinks.read_blocks(spark, store).orderBy("position").collect()
+    assert [r.position for r in got] == list(range(26)) and {r.block_start for r in got} == {0, 10, 20}
+    assert {r.uri for r in got} == {*(f"/{i}" for i in range(25)), "/last"} and [r.time for r in got if r.uri == "/last"] == [0]
+
+
 def test_headers_split_and_join(spark):
     raw = ["a:b\nc:d:e\nnone\n:x\ny:", "", None, "no"]
     got = spark.createDataFrame([(r,) for r in raw], "r string").select(text.split_headers(F.col("r")).alias("h")).collect()
