@@ -28,12 +28,13 @@ def event_type() -> F.Column:
 # 2 ------------------------------------------------------------------------------------------------------------------
 def p2_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The feature table of all addresses: total is the bytes of body."""
-    rows = R.requests(valid(spark, sf_dir), carry={"event": F.struct("status", F.coalesce(F.octet_length("body"), F.lit(0)).alias("bytes"))})
+    # Numbers, not a struct: such an aggregation hashes instead of sorting.
+    rows = R.requests(valid(spark, sf_dir), carry={"status": F.col("status"), "bytes": F.coalesce(F.octet_length("body"), F.lit(0))})
     typed = rows.select(
         F.col("ip_hex").alias("entity"),
-        F.concat_ws(" ", F.floor(F.col("event.status") / 100).cast("string"), net.route(F.col("uri"))).alias("event_type"),
+        F.concat_ws(" ", F.floor(F.col("status") / 100).cast("string"), net.route(F.col("uri"))).alias("event_type"),
         F.when(F.col("time") != 0, F.col("time")).alias("time"),
-        F.col("event.bytes").cast("long").alias("amount"),
+        F.col("bytes").cast("long").alias("amount"),
     )
     return events.feature_table(typed, valid(spark, sf_dir).select(F.col("ip_hex").alias("entity")))
 
