@@ -40,8 +40,8 @@ request AS (
     min_by(coalesce(octet_length(body), 0), entry_id) AS bytes
   FROM valid GROUP BY ALL),
 typed AS (
-  SELECT *, array_to_string(list_filter(string_split(lower(url_decode(regexp_replace(
-      split_part(split_part(uri, '#', 1), '?', 1), '^[A-Za-z][A-Za-z0-9+.\\-]*://[^/]*', ''))), '/'), lambda x: x <> '')[1:2], '/') AS route,
+  SELECT *, array_to_string(list_filter(string_split(lower(coalesce(TRY(url_decode(regexp_replace(split_part(split_part(uri, '#', 1), '?', 1), '^[A-Za-z][A-Za-z0-9+.\\-]*://[^/]*', ''))),
+      regexp_replace(split_part(split_part(uri, '#', 1), '?', 1), '^[A-Za-z][A-Za-z0-9+.\\-]*://[^/]*', ''))), '/'), lambda x: x <> '')[1:2], '/') AS route,
     CAST(status // 100 AS INTEGER) AS status_class FROM request)
 """
 
