@@ -30,6 +30,8 @@ REGISTERS = 8192
 GROUPS_AT_ONCE = 20_000
 #: Arrivals that are drawn at once.
 AT_ONCE = 1 << 16
+#: Items that come first into an empty sketch.
+FIRST_BLOCK = 64
 #: Registers are stored as steps of their binary logarithm: so many a doubling, counted from 2^-OCTAVES.
 STEPS, OCTAVES = 512, 96
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -51,17 +53,18 @@ def fold(registers: np.ndarray, hashes: np.ndarray) -> None:
     """Lower the registers by the items of these hashes. The number of registers is a power of two.
 
     An item's arrivals are drawn by the splitmix64 generator seeded by its hash: low bits name the register, high bits give
-    the time since the arrival before. Items come in blocks that double, because the largest register falls as they come.
+    the time since the arrival before. Items come in blocks that double, because the largest register falls as they come; the
+    items of the first block fill the registers together.
     """
     m = len(registers)
-    done, size = 0, 1
+    done, size = 0, FIRST_BLOCK
     while done < len(hashes):
         live = hashes[done : done + size]
         done += len(live)
-        size = min(2 * size, 4096)
+        size = min(done, 4096)
         time, drawn, top = np.zeros(len(live)), 0, registers.max()
         while len(live):
-            want = int(m * top * 1.1) + 4 if np.isfinite(top) else 4 * m
+            want = int(m * top * 1.1) + 4 if np.isfinite(top) else AT_ONCE
             want = max(4, min(want, AT_ONCE // len(live)))
             with np.errstate(over="ignore"):
                 z = _mixed(live[:, None] + np.arange(drawn + 1, drawn + want + 1, dtype=np.uint64)[None, :] * _MIX[0])
