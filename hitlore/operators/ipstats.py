@@ -175,13 +175,15 @@ def exact(log: DataFrame, *, most: int = MOST, chunk: int = CHUNK) -> DataFrame:
             columns = [pa.array([d[0] for d in done], pa.int64()), pa.array([key[0]] * len(done), pa.binary()), *(pa.array([d[i] for d in done], pa.float64()) for i in range(1, 6))]
             yield pa.RecordBatch.from_arrays(columns, names=["position", "ip", *NAMES])
 
-    # Every chunk tells, the first ones too: they give the fronts of the second.
+    firsts = placed.where("chunk = 0").select(*row, F.lit(0).cast("long").alias("front")).mapInArrow(go_through, _OUT)
+    if placed.where("chunk > 0").isEmpty():
+        return firsts
+    # Every chunk of a busy address tells, the first too: it gives the front of the second.
     told = placed.select("ip", "chunk", "row_no", "time").join(_several(placed), "ip", "left_semi")
     maps = told.repartition("ip", "chunk").sortWithinPartitions("ip", "chunk", "row_no").mapInArrow(tell, "ip binary, chunk long, before array<long>, after array<long>")
     known = maps.repartition("ip").sortWithinPartitions("ip", "chunk").mapInArrow(put_together, "ip binary, chunk long, front long")
-    firsts = placed.where("chunk = 0").withColumn("front", F.lit(0).cast("long"))
     later = placed.where("chunk > 0").join(known, ["ip", "chunk"]).select(*row, "front").repartition("ip", "chunk").sortWithinPartitions("ip", "chunk", "row_no")
-    return firsts.select(*row, "front").mapInArrow(go_through, _OUT).unionByName(later.mapInArrow(go_through, _OUT))
+    return firsts.unionByName(later.mapInArrow(go_through, _OUT))
 
 
 def _several(placed: DataFrame) -> DataFrame:

@@ -83,6 +83,8 @@ class FilteredPage:
         """The last n matches before `beyond`."""
         at, size, found, rows = beyond, self.window, 0, self.matching().where(F.col("position") < beyond)
         while found < n and at > 0:
+            if size >= at:
+                return last(rows, n)  # one more window is all there is
             found += rows.where((F.col("position") >= at - size) & (F.col("position") < at)).limit(n - found).count()
             at, size = at - size, size * 2
         return last(rows.where(F.col("position") >= at), n)
