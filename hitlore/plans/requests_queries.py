@@ -28,13 +28,15 @@ def event_type() -> F.Column:
 # 2 ------------------------------------------------------------------------------------------------------------------
 def p2_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The feature table of all addresses: total is the bytes of body."""
-    # Numbers, not a struct: such an aggregation hashes instead of sorting.
-    rows = R.requests(valid(spark, sf_dir), carry={"status": F.col("status"), "bytes": F.coalesce(F.octet_length("body"), F.lit(0))})
+    # One number, not a struct: such an aggregation hashes instead of sorting. A status has 16 bits.
+    packed = F.coalesce(F.octet_length("body"), F.lit(0)).cast("long") * 65536 + F.col("status")
+    event = F.col("event")
+    rows = R.requests(valid(spark, sf_dir), carry={"event": packed}).withColumns({"status": event % 65536, "bytes": F.shiftright(event, 16)})
     typed = rows.select(
         F.col("ip_hex").alias("entity"),
         F.concat_ws(" ", F.floor(F.col("status") / 100).cast("string"), net.route(F.col("uri"))).alias("event_type"),
         F.when(F.col("time") != 0, F.col("time")).alias("time"),
-        F.col("bytes").cast("long").alias("amount"),
+        F.col("bytes").alias("amount"),
     )
     return events.feature_table(typed, valid(spark, sf_dir).select(F.col("ip_hex").alias("entity")))
 
