@@ -14,3 +14,10 @@ def single_object(text: Column) -> Column:
     boxed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
     alone = F.try_variant_get(boxed, "$[1]", "variant").isNull()
     return F.when(alone, F.try_variant_get(boxed, "$[0]", "map<string,variant>"))
+
+
+def is_single_object(text: Column) -> Column:
+    """Whether single_object has fields to give, without taking them out."""
+    boxed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    alone = boxed.isNotNull() & F.try_variant_get(boxed, "$[1]", "variant").isNull()
+    return F.coalesce(alone & text.rlike(r"\A[ \t\n\r]*\{"), F.lit(False))

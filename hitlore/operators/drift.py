@@ -25,6 +25,8 @@ SHORT = 2
 SIGNS = " /:.-_;,()[]{}=?&\"\n+%@'"
 FOLLOWED = tuple(sign + kind for sign in "/:.-_=; (" for kind in "9Aa/")
 _CAPITALS, _LETTERS, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+#: What the parts of a signature are apart by; in a value it counts as a blank.
+_APART = "\x01"
 #: The character that stands for each of these marks in a signature.
 _MARKS = {mark: chr(0x100 + i) for i, mark in enumerate((*SIGNS, *FOLLOWED))}
 
@@ -68,6 +70,7 @@ def _step(length: int) -> int:
 
 def properties_of(text: str) -> list[str]:
     """The properties of one value's text, as the JVM makes them in `profiles`: m for marks, l for the length, v for short values."""
+    text = text.replace(_APART, " ")
     shape = text.translate(str.maketrans(_CAPITALS + _LETTERS + _DIGITS, "A" * 26 + "a" * 26 + "9" * 10))
     kinds = "".join(k for k in "9Aa" if k in shape)
     own = [*(f"m{c}" for mark, c in _MARKS.items() if mark in shape), f"m={kinds}", f"m^{shape[:1]}", f"m${shape[-1:]}", f"l{_step(len(text))}"]
@@ -138,21 +141,25 @@ def profiles(rows: DataFrame) -> DataFrame:
         (F.col("type") == _A) & F.col("shape").contains("OBJECT"), F.json_object_keys(F.get_json_object("text", "$[0]"))
     )
     valued = typed.withColumns({"type": kind, "text": text}).withColumn("name", F.when(F.col("type").isNotNull(), F.col("name")))
-    shaped = valued.withColumn("form", F.translate("text", _CAPITALS + _LETTERS + _DIGITS, "A" * 26 + "a" * 26 + "9" * 10))
-    signed = shaped.select(
-        "log_dir", "block_start", "name", "type", F.array_join(F.array_sort(inner), "\x00").alias("inner"), _marks_of(F.col("form")).alias("marks"),
-        _flags(F.col("form"), {k: k for k in "9Aa"}).alias("kinds"), F.substring("form", 1, 1).alias("begins"), F.substring("form", -1, 1).alias("ends"),
-        F.round(3 * F.log2(F.greatest(F.length("text"), F.lit(1)))).cast("int").alias("step"),
-        F.when(F.length("text") <= SHORT, F.col("text")).otherwise("").alias("short"),
+    shaped = valued.withColumn("form", F.translate("text", _CAPITALS + _LETTERS + _DIGITS + _APART, "A" * 26 + "a" * 26 + "9" * 10 + " "))
+    step = F.round(3 * F.log2(F.greatest(F.length("text"), F.lit(1)))).cast("int").cast("string")
+    short = F.when(F.length("text") <= SHORT, F.translate("text", _APART, " ")).otherwise("")
+    parts = (
+        _marks_of(F.col("form")), _flags(F.col("form"), {k: k for k in "9Aa"}), F.substring("form", 1, 1), F.substring("form", -1, 1), step, short,
+        F.coalesce(F.array_join(F.array_sort(inner), "\x00"), F.lit("")),
     )
+    # One text to group by.
+    signed = shaped.select("log_dir", "block_start", "name", "type", F.concat_ws(_APART, *parts).alias("signature"))
     counted = signed.groupBy(*signed.columns).agg(F.count(F.lit(1)).alias("n")).repartition("log_dir", "block_start")
     each = lambda letter, c: F.transform(F.filter(c, lambda x: x != ""), lambda x: F.concat(F.lit(letter), x))
+    part = lambda i: F.col("parts")[i]
     listed = F.concat(
-        each("m", F.split("marks", "")),
-        F.array(*(F.concat(F.lit(p), F.col(c)) for p, c in (("m=", "kinds"), ("m^", "begins"), ("m$", "ends"))), F.concat(F.lit("l"), F.col("step"))),
-        F.coalesce(each("k", F.split("inner", "\x00")), F.array().cast("array<string>")),
-        each("v", F.array("short")),
+        each("m", F.split(part(0), "")),
+        F.array(*(F.concat(F.lit(p), part(i)) for p, i in (("m=", 1), ("m^", 2), ("m$", 3), ("l", 4)))),
+        each("k", F.split(part(6), "\x00")),
+        each("v", F.array(part(5))),
     )
+    counted = counted.withColumn("parts", F.split("signature", _APART))
     flat = counted.select("log_dir", "block_start", "name", "type", F.explode_outer(F.when(F.col("name").isNotNull(), listed)).alias("property"), "n")
     return cut(flat.groupBy("log_dir", "block_start", "name", "type", "property").agg(F.sum("n").alias("n")).sortWithinPartitions("log_dir", "block_start"))
 
@@ -340,7 +347,7 @@ def unify(rows: DataFrame) -> DataFrame:
     NULL (a number too large for its column too), a missing proto 0, missing headers an empty list, a missing host '', a missing fingerprint zeros.
     position is block_start + row_no.
     """
-    well_formed = rows.where(jsontext.single_object(F.col("record")).isNotNull())
+    well_formed = rows.where(jsontext.is_single_object(F.col("record")))
     # One row per file: the smaller side by far.
     sources = mappings(rows).hint("shuffle_hash")
     read = well_formed.withColumn("values", F.from_json("record", "map<string,string>")).join(sources, ["log_dir", "block_start"])

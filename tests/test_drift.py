@@ -98,7 +98,7 @@ def test_flooding_settles_and_selects_one_to_one(spark):
 
 
 def test_properties_are_those_of_the_jvm(spark):
-    values = {"a": UA, "b": HEADERS, "c": "", "d": "Größe Ä9", "e": 39 * "7", "f": 12.5, "g": {"url": "x", "n": [1]}, "h": [{"k": 1}], "i": True, "j": int(39 * "1")}
+    values = {"a": UA, "b": HEADERS, "c": "", "d": "Größe Ä9", "e": 39 * "7", "f": 12.5, "g": {"url": "x", "n": [1]}, "h": [{"k": 1}], "i": True, "j": int(39 * "1"), "k": "\x01", "l": "a\x01b", "m": "\x00"}
     got: dict = {}
     for r in drift.profiles(table(spark, {("d", 0): [values]})).collect():
         got.setdefault(r.name, set()).add(r.property)
