@@ -51,13 +51,13 @@ def hadoop_path(spark: SparkSession, path: str):
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
-def place(spark: SparkSession, name: str, *, keep: bool = False) -> str:
-    """A new folder in the shared one, deleted when the application ends unless keep says otherwise."""
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    if not keep:
-        fs, where = hadoop_path(spark, path)
-        fs.deleteOnExit(where)
-    return path
+def place(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared one, not made yet. It is in a folder of the application, which is deleted when that ends."""
+    own = f"{shared_folder(spark)}/hitlore-{spark.sparkContext.applicationId}"
+    fs, where = hadoop_path(spark, own)
+    fs.mkdirs(where)
+    fs.deleteOnExit(where)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:

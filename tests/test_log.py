@@ -379,3 +379,25 @@ def test_training_on_labelled_rows_alone(spark):
     whole = {r.position: r.ip_req_rate_5m for r in forest.training_rows(log(spark, rows), labels).collect()}
     alone = {r.position: r.ip_req_rate_5m for r in forest.training_rows(log(spark, rows), labels, labelled_only=True).collect()}
     assert whole == {9: 10.0, 2: 3.0} and alone == {9: 1.0, 2: 2.0}
+
+
+def test_places_are_deleted_at_the_end():
+    """A session of its own, because deletion comes with the end of the JVM."""
+    import subprocess
+    import sys
+    import tempfile
+    from pathlib import Path
+
+    root = tempfile.mkdtemp()
+    code = f"""
+from hitlore.session import local_session, place, bucketed
+spark = local_session("1", "1g", **{{"spark.checkpoint.dir": "file://{root}", "spark.sql.shuffle.partitions": "2"}})
+df = bucketed(spark.range(10).withColumnRenamed("id", "k"), "k")
+assert df.join(df.withColumnRenamed("k", "j"), df.k == 3).count() == 10
+import os
+print("there", sum(x.startswith("hitlore-") for x in os.listdir("{root}")))
+spark.stop()
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=str(Path(__file__).resolve().parent.parent), timeout=120)
+    assert "there 1" in done.stdout, done.stderr[-2000:]
+    assert not [x for x in os.listdir(root) if x.startswith("hitlore-")]
