@@ -45,7 +45,7 @@ PIECE, CAUTION = 40, 12
 #: A word is marked if it stands in so many documents of the highest grade and its odds of harm are so many times those of any word.
 MARKED_DOCS, MARKED_ODDS = 3, 1.2
 #: Penalties of the weights, of which the one is taken that suits held-out ratings; windows a feature must stand in; how much more than single words pairs are drawn to zero.
-PENALTIES, SUPPORT, PAIR_PENALTY = (0.5,), 2, 4
+PENALTIES, SUPPORT, PAIR_PENALTY = (0.8,), 2, 4
 AT_ONCE = 256
 #: Chunks of text a worker remembers.
 CHUNKS_KEPT = 300_000

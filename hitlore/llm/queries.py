@@ -34,7 +34,7 @@ def p9_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: A document is a case from this expected severity on. Raters miss harm more often than they invent it, so that a document of
 #: which all agree has less than its grade to expect; held-out ratings (README) set the bound.
-SEVERE = 0.8
+SEVERE = 0.75
 
 
 def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
